@@ -166,10 +166,11 @@ def dense_totals(df: DataFrame, axes: list[Axis], values: dict[str, Column], sca
             break
     schema = "code long, n long" + "".join(f", m{i} long, hi{i} long, lo{i} long" for i in range(len(values)))
     out = out.mapInArrow(_rows(len(values)), schema)
-    keys, rest = [], F.when(F.col("code") < none, F.col("code"))
+    keys, rest = [], F.col("code")
     for a, size in reversed(list(zip(axes, sizes))):
         i = rest % size
-        keys.append((F.element_at(F.lit(learned[a.name]), (i + 1).cast("int")) if learned.get(a.name) else i).cast("int" if a.size is not None or _fits(learned[a.name]) else "long").alias(a.name))
+        value = F.element_at(F.lit(learned[a.name]), (i + 1).cast("int")) if learned.get(a.name) else i
+        keys.append(F.when(F.col("code") < none, value).cast("int" if a.size is not None or _fits(learned[a.name]) else "long").alias(a.name))
         rest = F.floor(rest / size)
     sums = [c for i, v in enumerate(values) for c in (F.col(f"m{i}").alias(f"n_{v}"), _total(F.col(f"hi{i}"), F.col(f"lo{i}"), scale).alias(f"sum_{v}"))]
     return out.select(*reversed(keys), "n", *sums)

@@ -60,13 +60,13 @@ POINTS = f"""WITH points AS (
   SELECT DISTINCT id, {WRAPPED.format("rx")} AS x, {WRAPPED.format("ry")} AS y, rz AS z FROM grid_fields
   WHERE id IS NOT NULL AND isfinite(rx) AND isfinite(ry) AND isfinite(rz))"""
 # Buckets one unit wide (1950 of them an axis); every point is put into its bucket and those around it.
-NEAR_SQL = f"""buckets AS (SELECT *, floor(x)::INT AS bx, floor(y)::INT AS by, floor(z)::BIGINT AS bz FROM points),
+NEAR_SQL = f"""buckets AS (SELECT *, floor(x)::INT AS kx, floor(y)::INT AS ky, floor(z)::BIGINT AS kz FROM points),
 spread AS (
-  SELECT id, x, y, z, (bx + dx + 1950) % 1950 AS bx, (by + dy + 1950) % 1950 AS by, bz + dz AS bz FROM buckets,
+  SELECT id, x, y, z, (kx + dx + 1950) % 1950 AS kx, (ky + dy + 1950) % 1950 AS ky, kz + dz AS kz FROM buckets,
     (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz)),
 pairs AS (
   SELECT p.id AS a, q.id AS b, least(abs(p.x - q.x), 1950 - abs(p.x - q.x)) AS dx, least(abs(p.y - q.y), 1950 - abs(p.y - q.y)) AS dy, p.z - q.z AS dz
-  FROM buckets p JOIN spread q USING (bx, by, bz) WHERE p.id < q.id),
+  FROM buckets p JOIN spread q USING (kx, ky, kz) WHERE p.id < q.id),
 near AS (SELECT DISTINCT a, b FROM pairs WHERE sqrt(dx * dx + dy * dy + dz * dz) > 0 AND sqrt(dx * dx + dy * dy + dz * dz) <= {NEAR})"""
 FORM = " + ".join(f"{('x', 'y', 'z', '1')[i]} * {('x', 'y', 'z', '1')[j]} * quadric[{4 * i + j + 1}]" for i in range(4) for j in range(4))
 INSIDE_SQL = f"""inside AS (
