@@ -8,7 +8,6 @@ the exact test. Cells proven outside are dropped.
 
 from __future__ import annotations
 
-import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,68 +38,56 @@ def quadric_value(q: list[Column] | Column, x: Column, y: Column, z: Column) ->
     return rows[0] + rows[1] + rows[2] + rows[3]
 
 
-def quadric_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[float, float]:
-    """An interval that holds the quadric's values over a box, widened for rounding."""
+def quadric_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intervals that hold the quadric's values over the boxes lo..hi (n x 3), widened for rounding."""
     a, b, c = (q[:3, :3] + q[:3, :3].T) / 2, (q[:3, 3] + q[3, :3]) / 2, q[3, 3]
     mid, half = (lo + hi) / 2, (hi - lo) / 2
-    at = mid @ a @ mid + 2 * b @ mid + c
-    slope = np.abs(2 * (a @ mid + b)) @ half
-    square = np.outer(half, half) * a
-    cross = np.abs(square - np.diag(np.diag(square))).sum()
-    diag = np.diag(square)
-    pad = 1e-9 * (np.abs(a).sum() * max(1.0, np.abs([lo, hi]).max()) ** 2 + np.abs(b).sum() * max(1.0, np.abs([lo, hi]).max()) + abs(c))
-    return at - slope - cross + np.minimum(diag, 0).sum() - pad, at + slope + cross + np.maximum(diag, 0).sum() + pad
-
-
-def classify(shape: Shape, lo: np.ndarray, hi: np.ndarray) -> str:
-    """interior, boundary or outside, for the points of the closed box [lo, hi]."""
-    inner, pad = True, 1e-12 * max(1.0, float(np.abs([lo, hi]).max()))
+    at = np.einsum("ni,ij,nj->n", mid, a, mid) + 2 * mid @ b + c
+    slope = (np.abs(2 * (mid @ a + b)) * half).sum(1)
+    square = half[:, :, None] * half[:, None, :] * a
+    diag = np.einsum("nii->ni", square)
+    cross = np.abs(square).sum((1, 2)) - np.abs(diag).sum(1)
+    reach = np.maximum(1.0, np.maximum(np.abs(lo), np.abs(hi)).max(1))
+    pad = 1e-9 * (np.abs(a).sum() * reach**2 + np.abs(b).sum() * reach + abs(c))
+    return at - slope - cross + np.minimum(diag, 0).sum(1) - pad, at + slope + cross + np.maximum(diag, 0).sum(1) + pad
+
+
+def classify(shape: Shape, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For closed boxes lo..hi (n x 3): which lie wholly inside the shape, which wholly outside."""
+    pad = 1e-12 * max(1.0, float(np.abs([lo, hi]).max()))
     lo, hi = lo - pad, hi + pad  # the join's key rounds
+    inner, outer = np.ones(len(lo), bool), np.zeros(len(lo), bool)
     if shape.bmin is not None:
-        if (hi < np.array(shape.bmin)).any():
-            return "outside"
-        inner &= bool((lo >= np.array(shape.bmin)).all())
+        outer |= (hi < np.array(shape.bmin)).any(1)
+        inner &= (lo >= np.array(shape.bmin)).all(1)
     if shape.bmax is not None:
-        if (lo > np.array(shape.bmax)).any():
-            return "outside"
-        inner &= bool((hi <= np.array(shape.bmax)).all())
+        outer |= (lo > np.array(shape.bmax)).any(1)
+        inner &= (hi <= np.array(shape.bmax)).all(1)
     if shape.quadric is not None:
         least, most = quadric_bounds(np.array(shape.quadric, float).reshape(4, 4), lo, hi)
-        if least > 0:
-            return "outside"
+        outer |= least > 0
         inner &= most <= 0
-    return "interior" if inner else "boundary"
+    return inner & ~outer, outer
 
 
 def cover(shape: Shape, domain: Domain, max_cells: int = 2048, max_level: int = 8) -> list[tuple]:
-    """At most max_cells cells of a region: always the coarsest undecided cell is split next.
+    """At most max_cells cells of a region, the undecided ones split level by level while that bound allows.
 
     Points outside the bounds fall in one pseudo cell of level OUTSIDE, a boundary cell of every region.
     """
     base, size = np.array(domain.bmin), np.array(domain.size)
-
-    def box(level, k):
+    corners = np.array(list(np.ndindex(2, 2, 2)))
+    done, cells = [(shape.region_id, OUTSIDE, 0, 0, 0, False)], np.zeros((1, 3), int)
+    for level in range(max_level + 1):
+        if not len(cells):
+            break
         step = size / 2**level
-        return base + np.array(k) * step, base + (np.array(k) + 1) * step
-
-    done, todo = [(shape.region_id, OUTSIDE, 0, 0, 0, False)], []
-    kind = classify(shape, *box(0, (0, 0, 0)))
-    if kind == "interior":
-        return [*done, (shape.region_id, 0, 0, 0, 0, True)]
-    if kind == "boundary":
-        heapq.heappush(todo, (0, (0, 0, 0)))
-    while todo:
-        level, k = heapq.heappop(todo)
-        if level >= max_level or len(done) + len(todo) + 8 > max_cells:
-            done.append((shape.region_id, level, *k, False))
-            continue
-        for child in np.ndindex(2, 2, 2):
-            c = tuple(2 * a + b for a, b in zip(k, child))
-            kind = classify(shape, *box(level + 1, c))
-            if kind == "interior":
-                done.append((shape.region_id, level + 1, *c, True))
-            elif kind == "boundary":
-                heapq.heappush(todo, (level + 1, c))
+        inner, outer = classify(shape, base + cells * step, base + (cells + 1) * step)
+        done += [(shape.region_id, level, *map(int, k), True) for k in cells[inner]]
+        cells = cells[~inner & ~outer]
+        if level == max_level or len(done) + 8 * len(cells) > max_cells:
+            return done + [(shape.region_id, level, *map(int, k), False) for k in cells]
+        cells = (2 * cells[:, None, :] + corners).reshape(-1, 3)
     return done
 
 
