@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import os
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
 from cellframe.operators.cells import KEY
+from cellframe.operators.ranking import dense_number
 
 FORCE = {"fx", "fy", "fz"}
 
 
 def _text(spark: SparkSession, path: str, content: str) -> None:
     """Writes one small file through the cluster's file system."""
-    jvm, p = spark._jvm, None
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
     out.write(bytearray(content.encode()))
     out.close()
@@ -114,8 +116,6 @@ def read_cell_values(spark: SparkSession, path: str, domain: Domain, subdiv: int
     want = tuple(d * subdiv for d in domain.grid_dims)
     if start is None or head.get("dims") != want:
         raise ValueError(f"expected a grid of {want} points, found {head.get('dims')}")
-    from cellframe.operators.ranking import dense_number
-
     values = lines.where(F.col("n") > start).select("n", F.posexplode(F.filter(F.split(F.trim("value"), r"\s+"), lambda s: s != "")).alias("p", "v"))
     numbered = dense_number(values, ["n", "p"], "at")
     nx, ny, nz = want
@@ -137,8 +137,6 @@ def write_grid(cells: DataFrame, domain: Domain, subdiv: int, path: str, fields:
     base = path.removeprefix("file:")
 
     def piece(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         k = int(frame["ck"].iloc[0])
         z0, z1 = k * subdiv, (k + 1) * subdiv
         extent = f"0 {nx} 0 {ny} {z0} {z1}"
@@ -162,8 +160,6 @@ def _write_named(files: DataFrame, base: str) -> None:
     """Each row (name, content) as a file under a folder that all executors share; a repeated task writes the same file again."""
 
     def put(rows: Iterator) -> None:
-        import os
-
         os.makedirs(base, exist_ok=True)
         for r in rows:
             with open(f"{base}/.{r.name}.tmp", "w") as f:
@@ -190,8 +186,6 @@ def write_points(df: DataFrame, path: str, fields: list[str]) -> None:
 
     files = df.select("rx", "ry", "rz", *fields).mapInPandas(piece, "name string, content string")
     _write_named(files, base)
-    import os
-
     kinds = dict(df.dtypes)
     arrays = "\n".join(f'<PDataArray type="{"Int64" if kinds[f] in ("int", "bigint") else "Float64"}" Name="{f}"/>' for f in fields)
     names = sorted(n for n in (os.listdir(base) if os.path.isdir(base) else []) if n.startswith("piece-"))

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
@@ -39,20 +39,14 @@ def from_embeddings(df: DataFrame) -> DataFrame:
 
 def from_events(df: DataFrame) -> DataFrame:
     """Particles of events: days since 2024, user and value are r; type is the number of the event type by name."""
-    kinds = df.select("event_type").distinct().withColumn("k", F.lit(1))
-    kinds = kinds.select("event_type", F.row_number().over(_by("event_type")).alias("type"))  # a few event types
+    kinds = df.select("event_type").distinct()
+    kinds = kinds.select("event_type", F.row_number().over(Window.orderBy("event_type")).alias("type"))  # a few event types
     days = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / F.lit(86_400_000_000.0)
     out = df.join(F.broadcast(kinds), "event_type", "left")
     zero = F.lit(0.0)
     return out.select(F.col("event_id").cast("long").alias("id"), (F.col("type") - 1).cast("int").alias("type"), days.alias("rx"), (F.col("user_id") % 30).cast("double").alias("ry"), (F.col("value") / 20).alias("rz"), F.col("value").alias("vx"), zero.alias("vy"), zero.alias("vz"), zero.alias("fx"), zero.alias("fy"), zero.alias("fz"))
 
 
-def _by(name):
-    from pyspark.sql import Window
-
-    return Window.orderBy(name)
-
-
 def from_lineitem(df: DataFrame) -> DataFrame:
     """Particles of lineitem: quantity, price and discount are r; ids number the rows in the order of all columns."""
     numbered = dense_number(df, [*df.columns], "id")
