@@ -71,26 +71,29 @@ def _few(tri: DataFrame) -> bool:
     return tri.limit(BROADCAST_TRIANGLES + 1).count() <= BROADCAST_TRIANGLES
 
 
-def _closest(r, a, b, c) -> tuple[Column, Column, Column]:
-    """Weights (u, v, w) of the point of triangle abc that is closest to r, by the region of the triangle r projects into."""
-    ab, ac, ap = sub(b, a), sub(c, a), sub(r, a)
-    d1, d2 = dot(ab, ap), dot(ac, ap)
-    bp, cp = sub(r, b), sub(r, c)
-    d3, d4, d5, d6 = dot(ab, bp), dot(ac, bp), dot(ab, cp), dot(ac, cp)
-    vc, vb, va = d1 * d4 - d3 * d2, d5 * d2 - d1 * d6, d3 * d6 - d5 * d4
+def _closest(df: DataFrame, r, a, b, c) -> DataFrame:
+    """Adds q: weights (u, v, w) of the point of triangle abc that is closest to r, by the region r projects into.
+
+    The products are columns of their own, so that the plan holds each once.
+    """
+    ab, ac, ap, bp, cp = sub(b, a), sub(c, a), sub(r, a), sub(r, b), sub(r, c)
+    df = df.withColumns({f"__d{i}": dot(x, y) for i, (x, y) in enumerate(((ab, ap), (ac, ap), (ab, bp), (ac, bp), (ab, cp), (ac, cp)), 1)})
+    d1, d2, d3, d4, d5, d6 = (F.col(f"__d{i}") for i in range(1, 7))
+    df = df.withColumns({"__vc": d1 * d4 - d3 * d2, "__vb": d5 * d2 - d1 * d6, "__va": d3 * d6 - d5 * d4})
+    va, vb, vc = F.col("__va"), F.col("__vb"), F.col("__vc")
     one, zero = F.lit(1.0), F.lit(0.0)
     s_ab, s_ac, s_bc = d1 / (d1 - d3), d2 / (d2 - d6), (d4 - d3) / ((d4 - d3) + (d5 - d6))
-    total = va + vb + vc
     pick = lambda u, v, w: F.struct(u.alias("u"), v.alias("v"), w.alias("w"))
-    return (
+    q = (
         F.when((d1 <= 0) & (d2 <= 0), pick(one, zero, zero))
         .when((d3 >= 0) & (d4 <= d3), pick(zero, one, zero))
         .when((vc <= 0) & (d1 >= 0) & (d3 <= 0), pick(one - s_ab, s_ab, zero))
         .when((d6 >= 0) & (d5 <= d6), pick(zero, zero, one))
         .when((vb <= 0) & (d2 >= 0) & (d6 <= 0), pick(one - s_ac, zero, s_ac))
         .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), pick(zero, one - s_bc, s_bc))
-        .otherwise(pick(va / total, vb / total, vc / total))
+        .otherwise(pick(va / (va + vb + vc), vb / (va + vb + vc), vc / (va + vb + vc)))
     )
+    return df.withColumn("q", q)
 
 
 def proximity(df: DataFrame, tri: DataFrame, max_dist: float, side: float | None = None) -> DataFrame:
@@ -104,7 +107,7 @@ def proximity(df: DataFrame, tri: DataFrame, max_dist: float, side: float | None
     cells = bucket(tri, side, max_dist)
     joined = _with_bucket(df.select("id", "rx", "ry", "rz"), side).join(F.broadcast(cells) if _few(cells) else cells, ["ti", "tj", "tk"])
     a, b, c, r = _corner("v0"), _corner("v1"), _corner("v2"), vec("r")
-    at = joined.withColumn("q", _closest(r, a, b, c))
+    at = _closest(joined, r, a, b, c)
     point = add(add(scaled(a, F.col("q.u")), scaled(b, F.col("q.v"))), scaled(c, F.col("q.w")))
     away = sub(r, point)
     used = sum((F.when(F.col(f"q.{x}") > 0, 1).otherwise(0) for x in "uv"), F.when(F.col("q.w") > 0, 1).otherwise(0))
