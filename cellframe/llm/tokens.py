@@ -156,19 +156,36 @@ def token_bytes(spark, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken") -> D
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks(vocabulary).items()], "id int, bytes binary")
 
 
-def decode_corpus(tokens: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken", run: int = 4096) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids), by a join with the token-byte table and reassembly by position.
+@lru_cache(maxsize=2)
+def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The token-byte table as all bytes in a row and the length of each id, -1 for an id that isn't there."""
+    table = {i: b for b, i in ranks(path).items()}
+    size = max(table) + 1
+    lengths = np.array([len(table[i]) if i in table else -1 for i in range(size)], np.int64)
+    return np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8), lengths
 
-    An empty or null list gives an empty text; an id the vocabulary lacks raises.
-    Long lists are cut into runs, so that no group holds more than one document's
-    runs. doc_ids must be distinct.
+
+def _decode(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, lengths = _byte_table(path)
+        for batch in batches:
+            texts = []
+            for row in batch.column(1):
+                ids = row.values.to_numpy(zero_copy_only=False) if row.is_valid and len(row) else np.zeros(0, np.int64)
+                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or (lengths[ids] < 0).any()):
+                    raise ValueError("unknown token id")
+                found, _ = _expand(values, np.maximum(lengths, 0), ids)
+                texts.append(found.tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return run
+
+
+def decode_corpus(tokens: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken") -> DataFrame:
+    """(doc_id, text) from (doc_id, ids): the ids joined with the token-byte table in place, by position.
+
+    The table has the vocabulary's size and is held by every task, so nothing is
+    moved. An empty or null list gives an empty text; an id the vocabulary lacks
+    raises; bytes that aren't UTF-8 become the replacement character.
     """
-    at = F.sequence(F.lit(0), F.greatest(F.size("ids") - 1, F.lit(0)), F.lit(run))
-    runs = tokens.select("doc_id", F.posexplode(F.transform(at, lambda s: F.slice("ids", s + 1, run))).alias("run", "part"))
-    one = runs.select("doc_id", "run", F.posexplode_outer("part").alias("position", "id"))
-    table = F.broadcast(token_bytes(tokens.sparkSession, vocabulary))
-    found = one.join(table, "id", "left").select("doc_id", "run", "position", F.when(F.col("id").isNotNull() & F.col("bytes").isNull(), F.raise_error(F.lit("unknown token id"))).otherwise(F.hex("bytes")).alias("hex"))
-    joined = found.groupBy("doc_id", "run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "hex"))), lambda s: s["hex"]), "").alias("hex"))
-    whole = joined.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "hex"))), lambda s: s["hex"]), "").alias("hex"))
-    lost = tokens.where(F.col("ids").isNull()).select("doc_id", F.lit("").alias("text"))
-    return whole.select("doc_id", F.decode(F.unhex("hex"), "UTF-8").alias("text")).unionByName(lost)
+    return tokens.select("doc_id", "ids").mapInArrow(_decode(vocabulary), "doc_id long, text string")
