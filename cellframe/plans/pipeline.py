@@ -6,9 +6,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cellframe.domain import Domain
-from cellframe.operators import analytics, cells, neighbors, ranking, selection, transform
+from cellframe.domain import AXES, Domain, extend_domain, init_domain
+from cellframe.operators import analytics, cells, checks, components, deform, neighbors, ranking, selection, transform
 from cellframe.operators.regions import Regions
 from cellframe.sources import files, particles
 
@@ -139,6 +140,198 @@ def _dump(s: State, path: str, **kw) -> State:
     return s
 
 
+@operator("domain")
+def _domain(s: State, **spec) -> State:
+    return replace(s, domain=init_domain(**spec))
+
+
+@operator("domain_update")
+def _domain_update(s: State) -> State:
+    return replace(s, domain=s.domain.updated().check())
+
+
+@operator("domain_volume")
+def _volume(s: State) -> State:
+    return replace(s, bag=s.bag | {"volume": s.domain.volume()})
+
+
+@operator("domain_set_xform")
+def _set_xform(s: State, xform) -> State:
+    return replace(s, domain=s.domain.override(xform=tuple(xform)))
+
+
+@operator("domain_extract_xform")
+def _extract_xform(s: State) -> State:
+    return replace(s, bag=s.bag | {"xform": s.domain.xform, "inv_xform": s.domain.inverse})
+
+
+@operator("deformation_xform")
+def _deformation(s: State, angles, extension=(1.0, 1.0, 1.0), mode: str = "SET") -> State:
+    return replace(s, domain=deform.deformed(s.domain, deform.from_angles(angles, extension), mode))
+
+
+@operator("xform_constant_strain_rate")
+def _strain(s: State, dt: float, **kw) -> State:
+    return replace(s, domain=deform.strain_step(s.domain, dt=dt, timestep=s.timestep, **kw)[0])
+
+
+@operator("xform_time_interpolate")
+def _interpolate(s: State, times, matrices) -> State:
+    return replace(s, domain=deform.deformed(s.domain, deform.interpolated(times, matrices, s.time)))
+
+
+@operator("xform_time_interpolate_byparts")
+def _by_parts(s: State, times, matrices, dt: float) -> State:
+    return replace(s, domain=deform.by_parts_step(s.domain, times, matrices, dt, s.timestep))
+
+
+@operator("extend_domain")
+def _extend(s: State) -> State:
+    ends = s.particles.agg(*(f(f"r{a}").alias(f"{n}{a}") for f, n in ((F.min, "lo"), (F.max, "hi")) for a in AXES)).first()
+    if ends.lox is None:
+        return s
+    return replace(s, domain=extend_domain(s.domain, (ends.lox, ends.loy, ends.loz), (ends.hix, ends.hiy, ends.hiz))[0])
+
+
+@operator("particle_types")
+def _types(s: State, **types) -> State:
+    return replace(s, types=particles.particle_types(s.particles.sparkSession, types))
+
+
+@operator("particle_type_add_properties")
+def _type_properties(s: State, **properties) -> State:
+    return replace(s, types=particles.add_type_properties(s.types, properties))
+
+
+@operator("grid_insert_particles")
+def _insert(s: State, particles_: Sequence[dict], type_ids: dict | None = None) -> State:
+    return replace(s, particles=particles.insert(s.particles, s.domain, particles_, type_ids))
+
+
+@operator("divide_force_by_type_scalar")
+def _divide(s: State, prop: str, region: str | None = None) -> State:
+    return replace(s, particles=transform.divide_force_by_type(s.particles, s.types, prop, s.regions, region))
+
+
+@operator("lennard_jones_force")
+def _lj(s: State, **kw) -> State:
+    return replace(s, particles=neighbors.lennard_jones(s.particles, s.domain, **kw))
+
+
+@operator("gravitational_force")
+def _gravity(s: State, g: float, rcut: float) -> State:
+    return replace(s, particles=neighbors.gravity(s.particles, s.domain, s.types, g, rcut))
+
+
+@operator("average_neighbors_scalar")
+def _average(s: State, nbh_field: str, avg_field: str, rcut: float, weight_function=(1.0,)) -> State:
+    pairs = neighbors.neighbors(s.particles, s.domain, rcut, keep=(nbh_field,))
+    return replace(s, particles=neighbors.average_neighbors(s.particles, pairs, nbh_field, avg_field, rcut, weight_function))
+
+
+@operator("set_cell_values")
+def _set_cells(s: State, field_name: str, value, grid_subdiv: int = 1, region: str | None = None) -> State:
+    base = cells.all_sub_cells(s.particles.sparkSession, s.domain, grid_subdiv) if s.cell_values is None else s.cell_values
+    return replace(s, cell_values=cells.set_cell_values(base, s.domain, grid_subdiv, field_name, value, s.regions, region))
+
+
+@operator("read_cell_values")
+def _read_cells(s: State, path: str, field_name: str, grid_subdiv: int = 1, order: str = "F") -> State:
+    return replace(s, cell_values=files.read_cell_values(s.particles.sparkSession, path, s.domain, grid_subdiv, field_name, order))
+
+
+@operator("fluid_friction")
+def _friction(s: State, fields: Sequence[str], grid_subdiv: int = 1) -> State:
+    at = cells.lookup(s.particles, s.cell_values, s.domain, grid_subdiv, list(fields))
+    c, *u = (F.col(f) for f in fields)
+    return replace(s, particles=transform.fluid_friction(at, c, u).select(*s.particles.columns))
+
+
+@operator("cc_label")
+def _components(s: State, field: str, threshold: float, grid_subdiv: int = 1, count_threshold: int = 1, sums=(), averages=()) -> State:
+    labelled = components.label_components(s.cell_values, s.domain, grid_subdiv, field, threshold, count_threshold)
+    return replace(s, cell_values=labelled, bag=s.bag | {"cc_table": components.component_table(labelled, s.domain, grid_subdiv, list(sums), list(averages))})
+
+
+@operator("write_cc_table")
+def _write_components(s: State, path: str, **kw) -> State:
+    files.write_component_table(s.bag["cc_table"], path, **kw)
+    return s
+
+
+@operator("write_xyz")
+def _write_xyz(s: State, path: str, fields=(".*",)) -> State:
+    files.write_xyz(s.particles, s.domain, path, s.types, tuple(fields), s.time)
+    return s
+
+
+@operator("write_paraview")
+def _write_points(s: State, path: str, fields: Sequence[str]) -> State:
+    files.write_points(s.particles, path, selection.fields(s.particles.columns, list(fields)))
+    return s
+
+
+@operator("write_grid_vtk")
+def _write_grid(s: State, path: str, fields: Sequence[str], grid_subdiv: int = 1) -> State:
+    files.write_grid(s.cell_values, s.domain, grid_subdiv, path, list(fields))
+    return s
+
+
+@operator("write_plot1d")
+def _write_plots(s: State, path: str, **kw) -> State:
+    files.write_plots(s.plots, path, **kw)
+    return s
+
+
+@operator("read_dump")
+def _read(s: State, path: str, **kw) -> State:
+    p, d, step, time = files.read_dump(s.particles.sparkSession, path, **kw)
+    return replace(s, particles=p, domain=d, timestep=step, time=time)
+
+
+@operator("backup_r")
+def _backup(s: State) -> State:
+    return replace(s, bag=s.bag | {"backup_r": transform.quantised_backup(s.particles, s.domain), "backup_domain": s.domain})
+
+
+@operator("restore_r")
+def _restore(s: State) -> State:
+    old = s.bag["backup_domain"]
+    return replace(s, particles=transform.restore(s.particles, transform.backed_up(s.bag["backup_r"], old), old.xform, s.domain.xform))
+
+
+@operator("copy_grid")
+def _copy(s: State) -> State:
+    return replace(s, bag=s.bag | {"grid_copy": s.particles})
+
+
+@operator("copy_back_grid")
+def _copy_back(s: State) -> State:
+    return replace(s, particles=s.bag["grid_copy"])
+
+
+for _n, _f in (
+    ("grid_stats", lambda s: analytics.grid_stats(s.particles, s.domain)),
+    ("debug_total_force", lambda s: analytics.total_force(s.particles)),
+    ("chunk_neighbors_stats", lambda s: neighbors.neighbor_stats(s.particles, s.pairs)),
+    ("simple_cost_model", lambda s: analytics.cell_costs(s.particles, s.domain)),
+    ("check_particles_inside_cells", lambda s: checks.outside_cells(s.particles, s.domain)),
+):
+    OPERATORS[_n] = lambda s, n=_n, f=_f: replace(s, bag=s.bag | {n: f(s)})
+
+# What the engine's shuffle, memory and scheduling do without being told: these names change nothing.
+COVERED = """chunk_neighbors_init rebuild_amr amr_grid_pairs resize_grid_cell_values resize_particle_locks init_rcb_grid
+load_balance_rcb load_balance_no_costs load_balance_random cpu_gpu_load_balance cell_owner_rank subdomain_neighbors
+migrate_cell_particles migrate_cell_particles_double migrate_cell_particles_int move_particles_double move_particles_int
+ghost_comm_scheme ghost_update_all ghost_update_all_no_fv ghost_update_r ghost_update_opt ghost_update_all_no_gcv
+ghost_update_all_no_fv_no_gcv ghost_update_r_no_gcv ghost_update_opt_no_gcv update_force_from_ghost update_opt_from_ghost
+update_force_from_ghost_no_gcv update_opt_from_ghost_no_gcv update_gcv_from_ghost update_ghost_config backup_r_lt_move_data
+start_grid_cell_profiling grid_memory_compact grid_clear_ghosts mpi_barrier mpi_dup particle_displ_over_async_end
+print_ghost_comm_scheme print_ghost_comm_stats memory_log""".split()
+for _n in COVERED:
+    OPERATORS.setdefault(_n, lambda s, **_: s)
+
+
 def run_pipeline(state: State, steps: Sequence[dict | str]) -> State:
     """Applies [{"operator": {arguments}}, ...] in order; an unknown operator raises before anything runs."""
     named = [(s, {}) if isinstance(s, str) else next(iter(s.items())) for s in steps]

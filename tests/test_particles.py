@@ -383,3 +383,36 @@ def test_pipeline_and_loop(spark):
         direct = spark.createDataFrame(direct.select(*p.columns).collect(), particles.SCHEMA)
     a, b = array(end)[1], array(UNIT.wrap(direct))[1]
     assert np.allclose(a, b, atol=1e-9)
+
+
+def test_pipeline_covers_cells_files_and_deformation(spark, tmp_path):
+    s = State(cloud(spark, 40), UNIT)
+    steps = [
+        {"particle_types": {"A": {"mass": 2.0}, "B": {"mass": 1.0}, "C": {"mass": 4.0}}},
+        "backup_r",
+        {"shift_r": {"value": (0.3, 0, 0)}},
+        "restore_r",
+        {"particle_cell_projection": {"splat": 0.1, "subdiv": 1, "values": {"n": F.lit(1.0)}}},
+        {"cc_label": {"field": "n", "threshold": 0.5}},
+        {"write_cc_table": {"path": f"{tmp_path}/cc"}},
+        {"write_dump": {"path": f"{tmp_path}/dump"}},
+        {"read_dump": {"path": f"{tmp_path}/dump"}},
+        {"lennard_jones_force": {"epsilon": 1.0, "sigma": 0.05, "rcut": 0.2}},
+        {"divide_force_by_type_scalar": {"prop": "mass"}},
+        {"deformation_xform": {"angles": (math.pi / 2,) * 3, "extension": (2, 1, 1)}},
+        "domain_volume",
+        "mpi_barrier",
+        "grid_stats",
+    ]
+    out = run_pipeline(s, steps)
+    assert out.bag["volume"] == pytest.approx(2.0) and out.bag["grid_stats"].first().particles == 40
+    assert np.allclose(array(out.particles)[1], array(cloud(spark, 40))[1], atol=1e-9)
+    assert spark.read.csv(f"{tmp_path}/cc", sep=";", header=True).count() == out.bag["cc_table"].count() > 0
+
+
+def test_control():
+    from cellframe.plans.control import Events, ask, before_timestep, timestep_file, value_scale
+
+    assert before_timestep(5, 5) and not before_timestep(6, 5) and timestep_file("d_%09d", 7) == "d_000000007"
+    e = Events().seen(moved=True, imbalance=0.2).seen(balanced=True, imbalance=0.1)
+    assert (e.balances, e.moves, e.imbalance_max) == (1, 1, 0.2) and value_scale(2.0, 3.0) == 6.0 and ask(int, {"n": "4"}, "n") == 4
