@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cellframe.domain import AXES, Domain, extend_domain
 from cellframe.functions.curves import Spline
 from cellframe.functions.keys import uniform_key_sql
-from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, ranking, selection, transform
+from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, ranking, selection, snap, transform
 from cellframe.operators.regions import Regions, scaling, translation
 from cellframe.plans.catalogue import query, table
 from cellframe.runtime import Scratch, shared_folder
@@ -408,6 +408,15 @@ def gravitational_force(spark, folder):
     return rounded(neighbors.gravity(p, UNIT, table(spark, folder, "particle_types"), 1e-6, RCUT).select("id", "fx", "fy", "fz"), ["fx", "fy", "fz"], 4)
 
 
+@query()
+def snap_force_generic(spark, folder):
+    """The spectral potential with coefficients that fall off with their order."""
+    p = transform.zero_force(wrapped(spark, folder)).withColumn("type", F.lit(0))
+    count = len(snap.triples(4)) + 1
+    potential = snap.Snap(4, 0.1, (0.5,), (1.0,), (tuple(1.0 / (1 + k) for k in range(count)),))
+    return rounded(snap.snap_force(p, UNIT, potential).select("id", "ep", "fx", "fy", "fz"), ["ep", "fx", "fy", "fz"])
+
+
 @query(sql=f"{WRAPPED}, i AS (SELECT unnest([-1, 0, 1]) AS ix), j AS (SELECT unnest([-1, 0, 1]) AS iy), k AS (SELECT unnest([-1, 0, 1]) AS iz) SELECT ix, iy, iz, round(sqrt((q.rx + ix - p.rx) ** 2 + (q.ry + iy - p.ry) ** 2 + (q.rz + iz - p.rz) ** 2), 9) AS distance FROM w p, w q, i, j, k WHERE p.id = 1 AND q.id = 2")
 def debug_particle_distance(spark, folder):
     return rounded(neighbors.image_distances(wrapped(spark, folder), UNIT, 1, 2).select("ix", "iy", "iz", "distance"), ["distance"], 9)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain, extend_domain, init_domain
-from cellframe.operators import analytics, cells, checks, components, deform, neighbors, ranking, selection, transform
+from cellframe.operators import analytics, cells, checks, components, deform, neighbors, ranking, selection, snap, transform
 from cellframe.operators.regions import Regions
 from cellframe.sources import files, particles
 
@@ -223,6 +223,11 @@ def _gravity(s: State, g: float, rcut: float) -> State:
     return replace(s, particles=neighbors.gravity(s.particles, s.domain, s.types, g, rcut))
 
 
+@operator("snap_force_generic")
+def _snap(s: State, parameters: str, coefficients: str) -> State:
+    return replace(s, particles=snap.snap_force(s.particles, s.domain, snap.parse(parameters, coefficients)))
+
+
 @operator("average_neighbors_scalar")
 def _average(s: State, nbh_field: str, avg_field: str, rcut: float, weight_function=(1.0,)) -> State:
     pairs = neighbors.neighbors(s.particles, s.domain, rcut, keep=(nbh_field,))
