@@ -36,14 +36,13 @@ def histogram(df: DataFrame, fields: list[str], samples: int = 1024) -> DataFram
     in bin 0. Nulls, NaN and infinite values don't count; a field without values
     has no bins. All fields are counted in two passes together.
     """
-    spark = df.sparkSession
     long = df.select(F.inline(F.array(*(F.struct(F.lit(f).alias("plot"), F.col(f).cast("double").alias("v")) for f in fields))))
     long = long.where(F.abs(F.col("v")) < float("inf"))
     ends = long.groupBy("plot").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / samples
     bins = F.least(F.floor(F.lit(samples) * (F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)), F.lit(samples - 1)).cast("int")
     counts = long.join(F.broadcast(ends), "plot").groupBy("plot", bins.alias("bin")).count()
-    every = ends.join(F.broadcast(spark.range(samples).select(F.col("id").cast("int").alias("bin")).withColumn("k", F.lit(1))), F.lit(1) == F.col("k")).drop("k")
+    every = ends.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     return every.join(counts, ["plot", "bin"], "left").select("plot", "bin", (F.col("lo") + (F.col("bin") + 0.5) * width).alias("x"), F.coalesce(F.col("count"), F.lit(0)).cast("double").alias("y"))
 
 

@@ -119,8 +119,9 @@ class Regions:
     def predicate(self, expression: str | None, r, id_: Column | None = None) -> Column:
         """The Column of an expression of names, and, or, not and parentheses; an empty one accepts all.
 
-        not binds tightest, then and, then or. An unknown name raises. Where the
-        position or id is null the predicate is false.
+        not binds tightest, then and, then or. An unknown name raises. Where a
+        position or id that the named regions look at is null the predicate is false,
+        by conjuncts of its own: comparisons still reach the scan.
         """
         tokens = re.findall(r"[()]|[^\s()]+", expression or "")
         if not tokens:
@@ -128,7 +129,13 @@ class Regions:
         column, rest = self._either(tokens, r, id_)
         if rest:
             raise ValueError(f"unexpected {rest[0]!r} in region expression {expression!r}")
-        return F.coalesce(column, F.lit(False))
+        used = [self.known[t[:NAME_LENGTH]] for t in tokens if t[:NAME_LENGTH] in self.known]
+        looked = [*r] if any(q.bmin or q.bmax or q.quadric for q in used) else []
+        if id_ is not None and any(q.id_start is not None or q.id_end is not None for q in used):
+            looked.append(id_)
+        for c in looked:
+            column = c.isNotNull() & column
+        return column
 
     def _either(self, tokens, r, id_):
         left, tokens = self._both(tokens, r, id_)

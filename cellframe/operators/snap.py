@@ -104,10 +104,10 @@ def representations(d: np.ndarray, rcut: np.ndarray, p: Snap) -> tuple[list[np.n
     one, done = matrix(q), matrix(dq)
     us, dus = [np.ones((len(d), 1, 1), complex)], [np.zeros((len(d), 3, 1, 1), complex)]
     for j in range(1, p.twojmax + 1):
-        c = coupling(j - 1, 1, j)
-        us.append(np.einsum("mab,nac,nbd,kcd->nmk", c, us[-1], one, c, optimize=True))
-        low = np.einsum("mab,nxac,nbd,kcd->nxmk", c, dus[-1], one, c, optimize=True)
-        dus.append(low + np.einsum("mab,nac,nxbd,kcd->nxmk", c, us[j - 1], done, c, optimize=True))
+        c = coupling(j - 1, 1, j).reshape(j + 1, -1)
+        kron = lambda x, y: np.einsum("...ac,...bd->...abcd", x, y).reshape(*np.broadcast_shapes(x.shape[:-2], y.shape[:-2]), c.shape[1], c.shape[1])  # noqa: B023, E731
+        dus.append(c @ (kron(dus[-1], one[:, None]) + kron(us[-1][:, None], done)) @ c.T)
+        us.append(c @ kron(us[-1], one) @ c.T)
     x = math.pi * (r - p.rmin0) / (rcut - p.rmin0)
     inside = r <= rcut
     cut = np.where(inside, 0.5 * (np.cos(x) + 1.0), 0.0)
@@ -126,16 +126,14 @@ def atom(d: np.ndarray, kinds: np.ndarray, kind: int, p: Snap) -> tuple[float, n
         total = [t + np.einsum("n,nab->ab", w, u) for t, u in zip(total, us)]
     energy, parts, slope = beta[0], [], [np.zeros((j + 1, j + 1), complex) for j in range(p.twojmax + 1)]
     for b, (j1, j2, j) in zip(beta[1:], triples(p.twojmax)):
-        c = coupling(j1, j2, j)
-        half = np.einsum("mab,ac,bd->mcd", c, total[j1], total[j2], optimize=True)
-        z = np.einsum("mcd,kcd->mk", half, c)
-        component = float((total[j].conj() * z).sum().real)
-        parts.append(component - ((j + 1) if p.bzero else 0.0))
+        c = coupling(j1, j2, j).reshape(j + 1, -1)
+        z = c @ np.kron(total[j1], total[j2]) @ c.T
+        parts.append(float((total[j].conj() * z).sum().real) - ((j + 1) if p.bzero else 0.0))
         energy += b * parts[-1]
-        back = np.einsum("mab,mk,kcd->abcd", c, total[j].conj(), c, optimize=True)
+        back = (c.T @ total[j].conj() @ c).reshape(j1 + 1, j2 + 1, j1 + 1, j2 + 1)
         slope[j] += b * z.conj()
-        slope[j1] += b * np.einsum("abcd,bd->ac", back, total[j2])
-        slope[j2] += b * np.einsum("abcd,ac->bd", back, total[j1])
+        slope[j1] += b * np.tensordot(back, total[j2], ([1, 3], [0, 1]))
+        slope[j2] += b * np.tensordot(back, total[j1], ([0, 2], [0, 1]))
     force = np.zeros((len(d), 3))
     if len(d):
         for s, du in zip(slope, dus):

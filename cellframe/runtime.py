@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -27,12 +28,33 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear_scratch() -> None:
+    """Deletes the tables this process wrote to the shared folder; results not yet read are lost. Runs at exit, too."""
+    while _WRITTEN:
+        try:
+            delete(*_WRITTEN.pop())
+        except Exception:  # the session may be gone
+            pass
+
+
+atexit.register(clear_scratch)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and survive the loss of executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        _WRITTEN.append((spark, self.root))
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{self.root}/{label}"
@@ -40,9 +62,7 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, label: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{label}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, f"{self.root}/{label}")
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
