@@ -16,19 +16,21 @@ def heavy_keys(counts: DataFrame, key: str, count: str, total: int, share: float
     return counts.where(F.col(count) >= F.lit(max(1000.0, share * total))).select(key)
 
 
-def salted_join(rows: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame, how: str = "inner", salts: int = 32) -> DataFrame:
+def salted_join(rows: DataFrame, lookup: DataFrame, key: str, heavy: DataFrame, how: str = "inner", salts: int = 32, limit: int = 2000) -> DataFrame:
     """rows joined with lookup (unique key); rows of heavy keys are spread over `salts` tasks.
 
     Only the heavy keys' rows of lookup are repeated, once a salt. `heavy` comes
-    from heavy_keys and is broadcast. Rows with a null key match nothing.
+    from heavy_keys; its keys, at most `limit`, become literals of the plan, so
+    both sides stay free of further joins. Without heavy keys it is a plain
+    join. Rows with a null key match nothing.
     """
-    salt, hot = fresh(rows, "salt", "hot")
-    lookup_names = set(lookup.columns)
-    while salt in lookup_names:
-        salt += "_"
-    marks = F.broadcast(heavy.select(key).distinct().withColumn(hot, F.lit(True)))
-    spread = F.when(F.col(hot), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
-    left = rows.join(marks, key, "left").withColumn(salt, spread).drop(hot)
-    copies = F.when(F.col(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = lookup.join(marks, key, "left").withColumn(salt, F.explode(copies)).drop(hot)
-    return left.join(right, [key, salt], how).drop(salt)
+    keys = [r[0] for r in heavy.select(key).where(F.col(key).isNotNull()).distinct().limit(limit + 1).collect()]
+    if len(keys) > limit:
+        raise ValueError(f"more than {limit} heavy keys: they must come from heavy_keys")
+    if not keys:
+        return rows.join(lookup, key, how)
+    salt = fresh(rows.select(*rows.columns, *(F.lit(0).alias(c) for c in lookup.columns if c not in rows.columns)), "salt")[0]
+    hot = F.col(key).isin(keys)
+    spread = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return rows.withColumn(salt, spread).join(lookup.withColumn(salt, F.explode(copies)), [key, salt], how).drop(salt)
