@@ -10,6 +10,8 @@ down the forest, the last round's vertices first.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +41,7 @@ def group_ids(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
     scratch = Scratch(spark, "groups")
     a, b = F.col("a").cast("long"), F.col("b").cast("long")
     edges = scratch.save(pairs.where(a.isNotNull() & b.isNotNull() & (a != b)).select(*_ordered(a, b)).distinct(), "edges0")
-    fallen, n = [], edges.count()
-    seeds = edges.limit(0).select(F.col("a").alias("id"), F.col("a").alias("group_id"))
+    first, rounds, n = edges, [], edges.count()
     for turn in range(max_rounds):
         if not n:
             break
@@ -50,25 +51,26 @@ def group_ids(pairs: DataFrame, max_rounds: int = 100) -> DataFrame:
         given = salted_join(directed, least.select("u", "m"), "u", hubs).select(F.col("v").alias("u"), "m")
         links = scratch.save(given.unionByName(least.select("u", "m")).distinct(), f"links{turn}")
         taken = scratch.save(links.groupBy("u").agg(F.min("m").alias("first"), F.max(F.col("m") == F.col("u")).alias("seed"), F.count("*").alias("degree")), f"taken{turn}")
-        fallen.append(scratch.save(taken.where("not seed").select(F.col("u").alias("id"), F.col("first").alias("parent")), f"fallen{turn}"))
-        seeds_now = taken.where("seed").select(F.col("u").alias("id"), F.col("u").alias("group_id"))
-        total = 3 * n
-        joined = salted_join(links, taken.select("u", "first"), "u", heavy_keys(taken, "u", "degree", total))
+        rounds.append(taken)
+        joined = salted_join(links, taken.select("u", "first"), "u", heavy_keys(taken, "u", "degree", 3 * n))
         edges = scratch.save(joined.where(F.col("m") != F.col("first")).select(*_ordered(F.col("m"), F.col("first"))).distinct(), f"edges{turn + 1}")
         n = edges.count()
-        # A seed without an edge left is the root of its group; the others go on.
-        going = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct()
-        seeds = seeds.unionByName(scratch.save(seeds_now.join(going, "id", "left_anti"), f"seeds{turn}"))
-        for label in ("least", "links", "taken"):
-            if turn:
-                scratch.drop(f"{label}{turn - 1}")
+        scratch.drop(f"least{turn}")
+        scratch.drop(f"links{turn}")
     else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    labels = seeds
-    for turn in reversed(range(len(fallen))):
-        below = fallen[turn]
-        counts = scratch.save(below.groupBy("parent").count(), f"children{turn}")
-        heavy = heavy_keys(counts, "parent", "count", counts.agg(F.sum("count")).first()[0] or 0)
+        if n:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+    # Seeds never fell; the others have the label of the vertex they hang below, which fell later or is a seed.
+    ids = first.select(F.inline(F.array(F.struct(F.col("a").alias("id")), F.struct(F.col("b").alias("id"))))).distinct()
+    fallen = [t.where("not seed").select(F.col("u").alias("id"), F.col("first").alias("parent")) for t in rounds]
+    down_ids = [below.select("id") for below in fallen]
+    seeds = ids.join(reduce(DataFrame.unionByName, down_ids), "id", "left_anti") if down_ids else ids
+    labels = scratch.save(seeds.select("id", F.col("id").alias("group_id")), "seeds")
+    for turn, below in reversed(list(enumerate(fallen))):
+        counts = below.groupBy("parent").count()
+        heavy = heavy_keys(counts, "parent", "count", below.count())
         down = salted_join(below, labels.withColumnRenamed("id", "parent"), "parent", heavy).select("id", "group_id")
         labels = scratch.save(labels.unionByName(down), f"labels{turn}")
+        if turn + 2 <= len(fallen) - 1:
+            scratch.drop(f"labels{turn + 2}")
     return labels
