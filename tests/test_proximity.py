@@ -75,7 +75,7 @@ def test_cover_is_bounded_and_has_interior_cells():
 
 def test_regions_against_direct_tests(spark):
     rng = np.random.default_rng(5)
-    rows = [(1, "ball", None, None, None, None, quadric((5, 5, 5), 2.5)), (2, "box", 10, 150, [1.0, 1.0, 1.0], [4.0, 9.0, 9.0], None), (3, "all", None, None, None, None, None), (4, "none", None, None, [6.0, 6, 6], [6.0, 5, 7], None), (5, "tall", None, None, None, None, np.diag([1.0, 1.0, 0.0, -4.0]).ravel().tolist())]
+    rows = [(1, "ball", None, None, None, None, quadric((5, 5, 5), 2.5)), (2, "box", 10, 150, [1.0, 1.0, 1.0], [4.0, 9.0, 9.0], None), (3, "all", None, None, None, None, None), (4, "none", None, None, [6.0, 6.0, 6.0], [6.0, 5.0, 7.0], None), (5, "tall", None, None, None, None, np.diag([1.0, 1.0, 0.0, -4.0]).ravel().tolist())]
     regions = spark.createDataFrame(rows, REGIONS)
     points = [(int(i), tuple(p)) for i, p in enumerate(rng.uniform(-5, 15, (300, 3)))] + [(None, (5, 5, 5)), (400, (5, 5, None)), (401, (5, 5, np.nan)), (402, (1.0, 1.0, 1e6))]
     want = set()
