@@ -16,6 +16,7 @@ import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
+from heapq import heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +32,8 @@ MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
 SHARE = 0.42
 #: Weight from which a stretch of found words counts: about a sentence with its own names and numbers.
 STRETCH = 16.0
+#: Lighter stretches count together if their words weigh on average at least so much of what the item's words do.
+OWN = 0.8
 #: Share of an item's positions that seeds must hit before its wording is compared.
 LEAST = 0.25
 #: A seed that stands in more items than this is common wording.
@@ -191,7 +194,7 @@ def _search(index: Index, share: float, least: float):
                 words = folded(text.as_py())
                 for k, places in index.candidates(words, least) if len(words) > 2 else ():
                     item, weights = index.words[k]
-                    s = float(weights[found_words(item, words, places.tolist(), weights)].sum() / weights.sum())
+                    s = found_share(item, words, places.tolist(), weights)
                     if s >= share:
                         rows.append((doc, int(index.items[k]), s))
             d, i, s = zip(*rows) if rows else ((), (), ())
@@ -206,7 +209,7 @@ def similar(a: str, b: str) -> bool:
 
 
 def found_words(item: list[str], doc: list[str], places: list[int], weights: np.ndarray, reach: int = 24) -> np.ndarray:
-    """Which of the item's words the document has in order, in stretches near the hit places.
+    """Which of the item's words the document has in stretches that count by themselves, near the hit places.
 
     Places closer than the item's length form one region of the document. In a
     region, matching blocks of three words and more count, smaller ones beside
@@ -215,8 +218,14 @@ def found_words(item: list[str], doc: list[str], places: list[int], weights: np.
     phrases that many items share add nothing by themselves. The stretches of
     all regions are taken together.
     """
+    return _matched(item, doc, places, weights, reach)[0]
+
+
+def _matched(item: list[str], doc: list[str], places: list[int], weights: np.ndarray, reach: int = 24) -> tuple[np.ndarray, list[tuple[int, int, list[int]]]]:
+    """The words of found_words, and the stretches too light to count: first and last place in the document, the item's positions."""
     n = len(item)
     found = np.zeros(n, bool)
+    short: list[tuple[int, int, list[int]]] = []
     regions: list[list[int]] = []
     for p in sorted(places):
         if regions and p - regions[-1][1] <= n + reach:
@@ -224,16 +233,59 @@ def found_words(item: list[str], doc: list[str], places: list[int], weights: np.
         else:
             regions.append([p, p])
     for lo, hi in regions:
-        window = doc[max(0, lo - n - reach) : hi + n + reach]
+        start = max(0, lo - n - reach)
+        window = doc[start : hi + n + reach]
         more = True
         while more:  # sentences in another order are found in a further pass over what is left
-            more = False
+            more, light = False, []
             for at, place in _stretches([None if f else w for f, w in zip(found, item)], window):
                 if weights[at].sum() >= STRETCH:
                     found[at] = True
                     window = [f"\0{i}" if i in place else w for i, w in enumerate(window)]
                     more = True
-    return found
+                else:
+                    light.append((start + min(place), start + max(place), at))
+        short += light
+    return found, short
+
+
+def found_share(item: list[str], doc: list[str], places: list[int], weights: np.ndarray) -> float:
+    """The share of the item's wording that the document has.
+
+    It is the greater of the shares by words and by weight of what found_words
+    gives. Lighter stretches are judged together: those that follow each other in
+    the item as in the document count with the rest by weight, unless their share
+    by weight falls below OWN of that by words, as it does for phrases of many
+    items without the item's own names and numbers.
+    """
+    found, short = _matched(item, doc, places, weights)
+    total = weights.sum()
+    share = max(found.mean(), weights[found].sum() / total)
+    left = [(first, last, [i for i in at if not found[i]]) for first, last, at in short]
+    found[_in_order([x for x in left if len(x[2]) >= 3], weights)] = True
+    joint = weights[found].sum() / total
+    return float(max(share, joint) if joint >= OWN * found.mean() else share)
+
+
+def _in_order(short: list[tuple[int, int, list[int]]], weights: np.ndarray) -> list[int]:
+    """The item's positions in the heaviest row of stretches that follow each other in the item and in the document."""
+    best = np.zeros(len(weights) + 1)  # by the item's position, the weight of the heaviest row that ends before it
+    row: list[tuple[list[int], tuple | None] | None] = [None] * len(best)
+    waiting: list[tuple[int, int, float, tuple]] = []
+    for k, (first, last, at) in enumerate(sorted(short)):
+        while waiting and waiting[0][0] < first:
+            _, _, weight, link = heappop(waiting)
+            for i in range(link[0][-1] + 1, len(best)):
+                if best[i] >= weight:
+                    break
+                best[i], row[i] = weight, link
+        heappush(waiting, (last, k, best[at[0]] + weights[at].sum(), (at, row[at[0]])))
+    link = max([(w, k, x) for _, k, w, x in waiting] + [(best[-1], -1, row[-1])])[2]
+    out = []
+    while link:
+        out += link[0]
+        link = link[1]
+    return out
 
 
 def _stretches(item: list[str | None], window: list[str]) -> list[tuple[list[int], set[int]]]:
@@ -271,7 +323,7 @@ def _verify(share: float):
                 words = folded(text)
                 for c in candidates:
                     weights = np.asarray(c["weights"], float)
-                    s = float(weights[found_words(list(c["words"]), words, list(c["places"]), weights)].sum() / weights.sum())
+                    s = found_share(list(c["words"]), words, list(c["places"]), weights)
                     if s >= share:
                         rows.append((doc, c["item_id"], s))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "share"])
@@ -289,7 +341,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, l
     """(doc_id, item_id, share): the documents that carry an item, with the share of its wording found.
 
     A word's weight is the logarithm of one plus the number of items over the
-    number of items that have it, so phrases of many items say little.
+    number of items that have it, so phrases of many items say little. Half an
+    item counts whether it stands in one stretch or in sentences far apart.
 
     `documents` has doc_id and text, `items` item_id and text; both are read
     whole, other columns aren't. Null, empty and blank texts, and items of fewer

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from cellframe.llm.leaks import SHARE, folded, found_words, leaked_items, seeds, word_code
+from cellframe.llm.leaks import SHARE, folded, found_share, found_words, leaked_items, seeds, word_code
 from cellframe.llm.quality import FEATURES, Trees, holdout, junk_probability, measures, statistics, weak_label
 from cellframe.llm.tokens import FOLDER, decode_corpus, encode_corpus, encoding
 
@@ -66,6 +66,29 @@ def test_leaks(spark, rows):
     assert leaks(spark, texts, index_rows=rows) == {(0, 1), (1, 1), (2, 1), (2, 2), (3, 1), (4, 1), (10, 2)}
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+def test_leaks_in_sentences(spark, rows):
+    """Half an item in pieces of a sentence's length, with other matter between; the same pieces in another order aren't the item's order."""
+    words, other = PASSAGE.split(), FILLER.split()
+    pieces = [words[i : i + 8] for i in range(0, len(words), 16)]
+    apart = [" ".join(p + other[7 * k : 7 * k + 12]) for k, p in enumerate(pieces)]
+    far = [" ".join(p) + " " + FILLER * 2 for p in pieces]
+    texts = [FILLER + " ".join(apart), "".join(far), FILLER + " ".join(apart[:1])]
+    assert leaks(spark, texts, index_rows=rows) == {(0, 1), (1, 1)}
+
+
+def test_share_of_an_item():
+    item = [f"w{i}" for i in range(40)]
+    weights = np.r_[np.full(20, 1.0), np.full(20, 2.5)]
+    half = ["x"] * 9 + item[:20] + ["y"] * 9
+    assert found_share(item, half, [9], weights) == 0.5  # an unbroken half of common words
+    pieces = [w for i in range(0, 40, 10) for w in [*item[i : i + 5], *"pqrstuvw"]]
+    assert found_share(item, pieces, [0, 39], weights) == 0.5
+    swapped = pieces[39:] + pieces[26:39] + pieces[13:26] + pieces[:13]
+    assert found_share(item, swapped, [0, 39], weights) < SHARE
+    assert found_share(item, pieces[:13] + pieces[13:18], [0, 13], weights) == 0  # phrases without the item's own words
+
+
 def test_leaks_of_nothing(spark):
     assert leaks(spark, []) == set()
     items = spark.createDataFrame([], "item_id long, text string")
