@@ -112,7 +112,7 @@ def measures(text: str, common: frozenset[str], common_cjk) -> list[float]:
             good += size
     letters = sum(map(len, found))
     counts = Counter(found)
-    head = flat[:20_000].encode("utf-8", "replace")
+    body = flat.encode("utf-8", "replace")
     return [
         float(len(found)),
         letters / count,
@@ -136,7 +136,7 @@ def measures(text: str, common: frozenset[str], common_cjk) -> list[float]:
         letters / n,
         sum(len(x) < 25 for x in lines) / len(lines),
         sum(v for w, v in counts.items() if len(w) == 1 and w.isascii()) / latin,
-        len(zlib.compress(head, 1)) / max(1, len(head)),
+        len(zlib.compress(body, 1)) / max(1, len(body)),
         flat.count("(") / count,
         sum(m and x not in END for m, x in zip(marked, last)) / len(lines),
         sum(bool(BULLET.match(y)) or x in END and y.lstrip()[:1].islower() for x, y in zip(["", *last], lines)) / len(lines),

@@ -125,6 +125,14 @@ def test_measures():
     assert all(np.isfinite(measures(t, common, None)).all() for t in [".", "a", "　x", "\U0001f600", "." * 20_000, "a" * 20_000])
 
 
+def test_measures_are_of_the_whole_text():
+    """What comes after 20,000 characters counts."""
+    rng = np.random.default_rng(2)
+    begin = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(3000))
+    packed = [measures(t, frozenset(), None)[FEATURES.index("packed")] for t in (begin, begin + " over and over" * 10_000)]
+    assert packed[1] < 0.3 * packed[0]
+
+
 def test_quality_on_held_out_rows(spark):
     words = spark.createDataFrame([("en", w) for w in "the is on so that it by a when in this way of and to".split()], "lang string, word string")
     rng = np.random.default_rng(0)
