@@ -10,6 +10,7 @@ from cellframe.functions.curves import Spline, polynomial_fit
 from cellframe.functions.vec import quantity, sphere_source, wavefront_source
 from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, ranking, selection, transform
 from cellframe.operators.regions import SHAPES, Regions, quadric_column, rotation, scaling, transformed, translation
+from cellframe.plans import particle_queries
 from cellframe.plans.pipeline import OPERATORS, State, run_pipeline
 from cellframe.sources import files, particles
 from cellframe.streaming.loop import Verlet, run
@@ -187,6 +188,24 @@ def test_neighbours_edge_cases(spark):
     assert (0, 0, 0) in neighbors.cell_pair_offsets(UNIT, 0.1)
 
 
+def test_force_query_has_the_closest_pairs(spark, tmp_path):
+    at = np.random.default_rng(5).uniform(-0.5, 0.5, (60, 3))
+    at[30:50] = at[:20] + np.linspace(0.004, 0.029, 20)[:, None] * np.array([0.6, 0.0, 0.8])
+    rows = [(i, 0, [float(x) for x in np.pad(p, (0, 61))]) for i, p in enumerate(at)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    query = particle_queries.lennard_jones_force_all(spark, str(tmp_path)).collect()
+    got = np.array([[r.fx, r.fy, r.fz] for r in sorted(query, key=lambda r: r.id)])
+    r = np.mod(at + [0.5, 0, 0], 1.0)
+    d = r[None] - r[:, None]
+    d -= np.round(d)
+    d2 = (d * d).sum(2)
+    near = (d2 > 0) & (d2 <= 0.01)
+    s6 = (0.05**2 / np.where(near, d2, 1.0)) ** 3
+    pair = np.where(near, -24.0 * (2.0 * s6 * s6 - s6) / np.where(near, d2, 1.0), 0.0)[:, :, None] * d
+    assert (near & (d2 < 0.0009)).sum() >= 40
+    assert (np.abs(got - pair.sum(1)) <= 1e-9 * np.abs(pair).sum(1).max(1, keepdims=True)).all()
+
+
 def test_forces_cancel_and_averages(spark):
     df = transform.zero_force(cloud(spark, 40, 6))
     f = neighbors.lennard_jones(df, UNIT, 1.0, 0.05, 0.3, energy=True)
