@@ -206,6 +206,18 @@ def test_force_query_has_the_closest_pairs(spark, tmp_path):
     assert (np.abs(got - pair.sum(1)) <= 1e-9 * np.abs(pair).sum(1).max(1, keepdims=True)).all()
 
 
+def test_checks_are_of_all_rows(spark, monkeypatch):
+    folder = "/root/testdata/sf0.001"
+    assert tuple(particle_queries.check_values(spark, folder).first()) == (0, 0, 0, 0)
+    assert particle_queries.check_particles_inside_cells(spark, folder).first().outside == 0
+    real = particle_queries.wrapped
+    shifted = lambda s, f: real(s, f).withColumn("vx", F.col("vx") + F.when(F.col("id") % 5 == 1, 0.25).otherwise(0.0))
+    monkeypatch.setattr(particle_queries, "wrapped", shifted)
+    assert particle_queries.check_values(spark, folder).first().vel_error > 0
+    monkeypatch.setattr(checks, "outside_cells", lambda df, domain: df.limit(0).select("rx").union(spark.createDataFrame([(0.3,), (0.35,)], "rx double")))
+    assert particle_queries.check_particles_inside_cells(spark, folder).first().outside == 2
+
+
 def test_forces_cancel_and_averages(spark):
     df = transform.zero_force(cloud(spark, 40, 6))
     f = neighbors.lennard_jones(df, UNIT, 1.0, 0.05, 0.3, energy=True)
