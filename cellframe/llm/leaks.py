@@ -22,34 +22,46 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.operators.skew import heavy_keys, salted_join
 from cellframe.runtime import Scratch
 
 MASKS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 2, 4))
-#: Share of an item's words that must be found; the cases are at half and more, other documents below a third.
-SHARE = 0.42
-#: Weight from which a stretch of found words counts: about a sentence with its own names and numbers.
-STRETCH = 16.0
+#: Items of up to four words count where they stand as a whole: the mask of their length is their only seed.
+WHOLE = {1: (0,), 2: (0, 1), 3: (0, 1, 2), 4: (0, 1, 2, 3)}
+SHORT = max(WHOLE)
+ALL_MASKS = (*MASKS, *(m for m in WHOLE.values() if m not in MASKS))
+#: Share of an item that must be found: midway between a third (no case) and a half (a case).
+SHARE = 5 / 12
+#: Weight from which a stretch of found words counts, in words that no other item has: about a sentence with its own names and numbers.
+STRETCH = 2.7
+#: A stretch of this share of the item's weight counts, too, however light it is.
+PART = 0.3
 #: Lighter stretches count together if their words weigh on average at least so much of what the item's words do.
 OWN = 0.8
-#: Share of an item's positions that seeds must hit before its wording is compared.
-LEAST = 0.25
-#: A seed that stands in more items than this is common wording.
+#: Share of an item's weight that stands at positions hit by seeds before its wording is compared.
+LEAST = 0.15
+#: A seed that stands in more items than this is common wording, and is used for items only that have more than an eighth of their weight in it.
 COMMON = 12
 #: Up to so many seeds and words of the items their index goes to the tasks that read the corpus; beyond it seeds are joined by shuffle.
 INDEX_ROWS = 1_000_000
+#: Bits of the filter that keeps the corpus's other seeds out of that shuffle: 16 MB whatever the tables' size.
+FILTER_BITS = 1 << 27
 
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 BREAK = re.compile(r"[-\xad\u2010\u2011][ \t\r]*\n\s*(?=\w)|\xad")
 REFERENCE = re.compile(r"\(\s?\d{1,4}[a-z]?\s?\)|\[\d{1,5}\]")
-WORD = re.compile(r"[^\W_]+")
+# Scripts that are written without spaces: each of their characters is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD, CHARACTER = re.compile(r"[^\W_]+"), re.compile(f"[{UNSPACED}]")
+MIXED = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+")
 # Letters of other scripts that look like Latin ones, and characters of no width.
 ALIKE = str.maketrans("авсеһіјкмнорѕтухԁԛԝгёοαρνιτυκηεβχγß", "abcehijkmhopstyxdqwreoapvitukhebxys")
 NONE = dict.fromkeys([*range(0x300, 0x370), 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)])
-# Scan faults: characters that are taken for each other fall together.
-FOLD = str.maketrans("01i|j!58e269faq", "olllllsbczbgtog")
+# Scan faults: characters that are taken for each other fall together, but no two digits do.
+FOLD = str.maketrans("01i|j!58e29faq", "olllllsbczgtog")
 PAIRS = (("rn", "m"), ("ll", "h"), ("cl", "d"), ("vv", "w"))
 
 
@@ -86,13 +98,14 @@ def folded(text: str | None) -> list[str]:
     text = text.translate(FOLD) if text.isascii() else _mapped(text, _table(True))
     for a, b in PAIRS:
         text = text.replace(a, b)
-    return WORD.findall(text)
+    return (WORD if text.isascii() or not CHARACTER.search(text) else MIXED).findall(text)
 
 
-def seeds(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def seeds(codes: np.ndarray, masks: tuple = MASKS) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each mask the positions and 64-bit hashes of its seeds; code 0 (no item's word) makes no seed."""
     out = []
-    for k, mask in enumerate(MASKS):
+    for mask in masks:
+        k = ALL_MASKS.index(mask)
         n = len(codes) - mask[-1]
         if n <= 0:
             continue
@@ -108,6 +121,11 @@ def seeds(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def masks_for(lengths) -> tuple:
+    """The masks that find items of these numbers of words."""
+    return (*MASKS, *(WHOLE[n] for n in sorted(set(lengths)) if n in WHOLE and WHOLE[n] not in MASKS))
+
+
 def word_code(word: str) -> int:
     import xxhash
 
@@ -117,56 +135,84 @@ def word_code(word: str) -> int:
 def _item_seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         rows = []
-        for item, text in zip(frame.item_id, frame.text):
-            words = folded(text)
+        for item, words in zip(frame.item_id, frame.words):
             codes = np.array([word_code(w) for w in words], np.uint64)
-            for at, h in seeds(codes):
+            for at, h in seeds(codes, MASKS if len(words) > SHORT else (WHOLE[len(words)],)):
                 rows += [(item, len(words), int(p), int(x)) for p, x in zip(at, h)]
         yield pd.DataFrame(rows, columns=["item_id", "n", "at", "seed"])
 
 
-def _corpus_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) batches to all seeds of the documents."""
-    memo: dict[str, int] = {}
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(5)) & np.uint64(FILTER_BITS - 1)
+
+
+def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Seeds to the bytes of the filter that they set."""
     for batch in batches:
-        docs, ats, found = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            words = folded(text.as_py())
-            if len(memo) > 1 << 20:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = word_code(w)
-            for at, h in seeds(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))):
-                ats.append(at.astype(np.int32))
-                found.append(h)
-                docs.append(np.full(len(h), doc, np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, ats, found)], ["doc_id", "place", "seed"])
+        slot = np.unique(_slot(batch.column(0).to_numpy(zero_copy_only=False)))
+        byte, first = np.unique(slot >> np.uint64(3), return_index=True)
+        if len(byte):
+            bits = np.bitwise_or.reduceat(np.left_shift(1, slot & np.uint64(7)).astype(np.uint8), first)
+            yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(bits.astype(np.int16))], ["byte", "bits"])
+
+
+def seed_filter(used: DataFrame) -> np.ndarray:
+    """Bits of the seeds that stand in `used`: what the driver gets has at most FILTER_BITS / 8 rows, whatever the number of items."""
+    parts = used.select("seed").mapInArrow(_filter_parts, "byte long, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS >> 3, np.uint8)
+    out[parts["byte"].to_numpy()] = parts["bits"].to_numpy().astype(np.uint8)
+    return out
+
+
+def _corpus_seeds(masks: tuple, held):
+    """(doc_id, text) batches to the documents' seeds that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[str, int] = {}
+        bits = held.value
+        for batch in batches:
+            docs, ats, found = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = folded(text.as_py())
+                if len(memo) > 1 << 20:
+                    memo.clear()
+                for w in words:
+                    if w not in memo:
+                        memo[w] = word_code(w)
+                for at, h in seeds(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)), masks):
+                    slot = _slot(h)
+                    kept = (bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                    ats.append(at[kept].astype(np.int32))
+                    found.append(h[kept])
+                    docs.append(np.full(int(kept.sum()), doc, np.int64))
+            if docs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, ats, found)], ["doc_id", "place", "seed"])
+
+    return run
 
 
 class Index:
     """The items' seeds as arrays, for a join in the task that reads a document: seed -> (item, position)."""
 
-    def __init__(self, used: list, words: list):
-        order = sorted(used, key=lambda r: (r.seed, r.item_id, r.at))
-        self.seed = np.array([r.seed for r in order], np.int64)
-        self.keys, self.start = np.unique(self.seed, return_index=True)
-        self.count = np.diff(np.concatenate([self.start, [len(self.seed)]]))
-        self.items = np.array(sorted({r.item_id for r in words}), np.int64)
-        self.item = np.searchsorted(self.items, np.array([r.item_id for r in order], np.int64))
-        self.at = np.array([r["at"] for r in order], np.int64)
-        self.words = {int(np.searchsorted(self.items, r.item_id)): (list(r.words), np.array(r.weights)) for r in words}
+    def __init__(self, used: pa.Table, words: pa.Table):
+        order = used.sort_by([("seed", "ascending"), ("item_id", "ascending"), ("at", "ascending")])
+        self.keys, self.start, self.count = np.unique(order["seed"].to_numpy(), return_index=True, return_counts=True)
+        self.items = np.unique(words["item_id"].to_numpy())
+        self.item = np.searchsorted(self.items, order["item_id"].to_numpy())
+        self.at, self.part = order["at"].to_numpy().astype(np.int64), order["part"].to_numpy()
+        rows = zip(words["item_id"].to_pylist(), words["words"].to_pylist(), words["weights"].to_pylist())
+        self.words = {int(np.searchsorted(self.items, i)): (list(w), np.array(x)) for i, w, x in rows}
         self.n = np.array([len(self.words[i][0]) for i in range(len(self.items))], np.int64)
         self.longest = int(self.n.max(initial=1))
         self.codes = {w: word_code(w) for ws, _ in self.words.values() for w in ws}
+        self.masks = masks_for(self.n.tolist())
 
     def candidates(self, words: list[str], least: float) -> list[tuple[int, np.ndarray]]:
-        """Items of which enough positions are hit, with the places of the hits."""
+        """Items of which enough weight is hit, with the places of the hits."""
         codes = np.fromiter(map(self.codes.get, words, repeat(0)), np.uint64, len(words))
-        if np.count_nonzero(codes) < 3 or not len(self.keys):
+        if not len(self.keys) or not codes.any():
             return []
-        found = seeds(codes)
+        found = seeds(codes, self.masks)
         if not found:
             return []
         place, h = (np.concatenate(x) for x in zip(*found))
@@ -179,9 +225,10 @@ class Index:
         ends = np.cumsum(count)
         row = np.arange(ends[-1]) - np.repeat(ends - count, count) + np.repeat(self.start[i], count)
         item, place = self.item[row], np.repeat(place, count)
-        once = np.unique(item * self.longest + self.at[row])
-        which, hits = np.unique(once // self.longest, return_counts=True)
-        return [(int(k), np.unique(place[item == k])) for k, c in zip(which, hits) if c >= max(1.0, least * self.n[k])]
+        once, first = np.unique(item * self.longest + self.at[row], return_index=True)
+        which, at = np.unique(once // self.longest, return_inverse=True)
+        enough = which[np.bincount(at, self.part[row][first]) >= least]
+        return [(int(k), np.unique(place[item == k])) for k in enough]
 
 
 def _search(index: Index, share: float, least: float):
@@ -192,7 +239,7 @@ def _search(index: Index, share: float, least: float):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = folded(text.as_py())
-                for k, places in index.candidates(words, least) if len(words) > 2 else ():
+                for k, places in index.candidates(words, least):
                     item, weights = index.words[k]
                     s = found_share(item, words, places.tolist(), weights)
                     if s >= share:
@@ -224,6 +271,7 @@ def found_words(item: list[str], doc: list[str], places: list[int], weights: np.
 def _matched(item: list[str], doc: list[str], places: list[int], weights: np.ndarray, reach: int = 24) -> tuple[np.ndarray, list[tuple[int, int, list[int]]]]:
     """The words of found_words, and the stretches too light to count: first and last place in the document, the item's positions."""
     n = len(item)
+    bar = min(STRETCH, PART * weights.sum())
     found = np.zeros(n, bool)
     short: list[tuple[int, int, list[int]]] = []
     regions: list[list[int]] = []
@@ -239,7 +287,7 @@ def _matched(item: list[str], doc: list[str], places: list[int], weights: np.nda
         while more:  # sentences in another order are found in a further pass over what is left
             more, light = False, []
             for at, place in _stretches([None if f else w for f, w in zip(found, item)], window):
-                if weights[at].sum() >= STRETCH:
+                if weights[at].sum() >= bar:
                     found[at] = True
                     window = [f"\0{i}" if i in place else w for i, w in enumerate(window)]
                     more = True
@@ -256,8 +304,11 @@ def found_share(item: list[str], doc: list[str], places: list[int], weights: np.
     gives. Lighter stretches are judged together: those that follow each other in
     the item as in the document count with the rest by weight, unless their share
     by weight falls below OWN of that by words, as it does for phrases of many
-    items without the item's own names and numbers.
+    items without the item's own names and numbers. An item of up to SHORT words
+    has the share 1 where it stands as a whole, 0 elsewhere.
     """
+    if len(item) <= SHORT:
+        return float(any(doc[p : p + len(item)] == item for p in places))
     found, short = _matched(item, doc, places, weights)
     total = weights.sum()
     share = max(found.mean(), weights[found].sum() / total)
@@ -333,49 +384,71 @@ def _verify(share: float):
 
 def _item_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
-        rows = [(item, at, w) for item, text in zip(frame.item_id, frame.text) for at, w in enumerate(folded(text))]
-        yield pd.DataFrame(rows, columns=["item_id", "at", "word"])
+        words = [folded(t) for t in frame.text]
+        yield pd.DataFrame({"item_id": frame.item_id, "words": words})[[bool(w) for w in words]]
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, least: float = LEAST, index_rows: int = INDEX_ROWS) -> DataFrame:
     """(doc_id, item_id, share): the documents that carry an item, with the share of its wording found.
 
-    A word's weight is the logarithm of one plus the number of items over the
-    number of items that have it, so phrases of many items say little. Half an
-    item counts whether it stands in one stretch or in sentences far apart.
+    A word's weight is log(1 + N / df) / log(1 + N) for N different items of
+    which df have it: 1 for a word of one item only, little for a word of all,
+    whatever N is. Half an item counts whether it stands in one stretch or in
+    sentences far apart. Scripts without spaces are compared by characters.
 
     `documents` has doc_id and text, `items` item_id and text; both are read
-    whole, other columns aren't. Null, empty and blank texts, and items of fewer
-    than five words, carry and are nothing. An item counts for itself, however
-    much it shares with others. Seeds of common wording (in more than COMMON
-    items) don't make candidates, but for items of which they cover more than a
-    quarter: a document with half of an item's words has a quarter outside
-    common wording otherwise. Documents that repeat a doc_id count as one.
+    whole, other columns aren't. Null, empty and blank texts, and items without a
+    word, carry and are nothing. An item of up to SHORT words counts where it
+    stands as a whole. An item counts for itself, however much it shares with
+    others; items of one folded text are compared once and come out each.
+    Documents that repeat a doc_id count as one.
+
+    Seeds of common wording (in more than COMMON items) don't make candidates,
+    but for items that have more than an eighth of their weight at such seeds.
+    Of half of another item three eighths of its weight are left outside common
+    wording; ends of stretches and faults may destroy three fifths of that before
+    it falls below LEAST.
     """
     scratch = Scratch(documents.sparkSession, "leaks")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
-    every = scratch.save(tests.repartition("item_id").mapInPandas(_item_seeds, "item_id long, n int, at int, seed long").where("n >= 5"), "items")
+    tests = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & (F.length("text") > 0))
+    every = tests.repartition("item_id").mapInPandas(_item_words, "item_id long, words array<string>")
+    # Equal texts are one class; an item_id with two texts is in two of them.
+    named = scratch.save(every.withColumn("digest", F.sha2(F.array_join("words", " "), 256)), "named")
+    lone = scratch.save(named.groupBy("digest").agg(F.first("words").alias("words")).withColumn("class", F.xxhash64("digest")), "classes")
+    texts = lone.select(F.col("class").alias("item_id"), "words")
+    words = scratch.save(texts.select("item_id", F.posexplode("words").alias("at", "word")), "words")
+    counted = words.groupBy("word").agg(F.count_distinct("item_id").alias("df"))
+    number = float(texts.count())
+    weight = F.log(1 + F.lit(number) / F.col("df")) / float(np.log(1 + max(number, 1.0)))
+    weighed = scratch.save(words.join(counted, "word").select("item_id", "at", "word", weight.alias("weight")), "weights")
+    total = weighed.groupBy("item_id").agg(F.sum("weight").alias("total"))
+    three = F.avg("weight").over(Window.partitionBy("item_id").orderBy("at").rowsBetween(0, 2))  # the words that a seed begins with
+    parts = weighed.withColumn("three", three).join(total, "item_id").select("item_id", "at", (F.col("three") / F.col("total")).alias("part"))
+    every = texts.mapInPandas(_item_seeds, "item_id long, n int, at int, seed long").join(parts, ["item_id", "at"])
+    every = scratch.save(every.withColumn("part", F.when(F.col("n") <= SHORT, 1.0).otherwise(F.col("part"))), "items")
     spread = every.groupBy("seed").agg((F.count_distinct("item_id") > COMMON).alias("common"))
     marked = every.join(spread, "seed")
-    mostly = marked.groupBy("item_id").agg((F.count_distinct(F.when(F.col("common"), F.col("at"))) > 0.25 * F.max("n")).alias("mostly"))
-    used = scratch.save(marked.join(mostly, "item_id").where("mostly or not common").select("item_id", "n", "at", "seed"), "used")
-    words = scratch.save(tests.mapInPandas(_item_words, "item_id long, at int, word string"), "words")
-    counted = words.groupBy("word").agg(F.count_distinct("item_id").alias("df"))
-    number = tests.select("item_id").distinct().count()
-    weighed = words.join(counted, "word").select("item_id", "at", "word", F.log(1 + F.lit(number) / F.col("df")).alias("weight"))
-    texts = weighed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word", "weight"))).alias("w"))
-    texts = texts.select("item_id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights"))
+    shared = marked.where("common").select("item_id", "at", "part").distinct().groupBy("item_id").agg((F.sum("part") > 0.125).alias("mostly"))
+    used = scratch.save(marked.join(shared, "item_id", "left").where(F.col("mostly") | ~F.col("common") | (F.col("n") <= SHORT)).select("item_id", "at", "seed", "part"), "used")
+    listed = weighed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word", "weight"))).alias("w"))  # as long as one item
+    listed = listed.select("item_id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights"))
     if max(used.count(), words.count()) <= index_rows:
-        index = Index(used.collect(), texts.collect())
+        index = Index(used.toArrow(), listed.toArrow())
         found = docs.mapInArrow(_search(index, share, least), "doc_id long, item_id long, share double")
     else:
-        hits = docs.mapInArrow(_corpus_seeds, "doc_id long, place int, seed long")
-        pairs = hits.join(used, "seed").groupBy("doc_id", "item_id")
+        lengths = [r.n for r in texts.select(F.size("words").alias("n")).where(F.col("n") <= SHORT).distinct().collect()]
+        held = documents.sparkSession.sparkContext.broadcast(seed_filter(used))
+        hits = scratch.save(docs.mapInArrow(_corpus_seeds(masks_for(lengths), held), "doc_id long, place int, seed long"), "hits")
+        counts = hits.groupBy("seed").count()
+        pairs = salted_join(hits, used, "seed", heavy_keys(counts, "seed", "count", hits.count())).groupBy("doc_id", "item_id")
         # Of a pair as many positions at most as the item has words, and places as the document has.
-        pairs = pairs.agg(F.collect_set("at").alias("ats"), F.collect_set("place").alias("places"), F.max("n").alias("n"))
-        candidates = pairs.where(F.size("ats") >= F.greatest(F.lit(1.0), least * F.col("n"))).select("doc_id", "item_id", "places")
-        full = candidates.join(texts, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "weights", "places")).alias("candidates"))
+        pairs = pairs.agg(F.collect_set(F.struct("at", "part")).alias("hit"), F.collect_set("place").alias("places"))
+        weight = F.aggregate("hit", F.lit(0.0), lambda sum_, h: sum_ + h["part"])
+        candidates = pairs.where(weight >= least).select("doc_id", "item_id", "places")
+        full = candidates.join(listed, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "weights", "places")).alias("candidates"))
         read = docs.join(scratch.save(full, "candidates"), "doc_id")
         found = read.select("doc_id", "text", "candidates").mapInPandas(_verify(share), "doc_id long, item_id long, share double")
-    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    best = found.groupBy("doc_id", F.col("item_id").alias("class")).agg(F.max("share").alias("share"))
+    members = named.join(lone.select("digest", "class"), "digest").select("class", "item_id")
+    return best.join(members, "class").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -79,14 +79,61 @@ def test_leaks_in_sentences(spark, rows):
 
 def test_share_of_an_item():
     item = [f"w{i}" for i in range(40)]
-    weights = np.r_[np.full(20, 1.0), np.full(20, 2.5)]
+    weights = np.r_[np.full(20, 0.15), np.full(20, 0.4)]
     half = ["x"] * 9 + item[:20] + ["y"] * 9
     assert found_share(item, half, [9], weights) == 0.5  # an unbroken half of common words
     pieces = [w for i in range(0, 40, 10) for w in [*item[i : i + 5], *"pqrstuvw"]]
-    assert found_share(item, pieces, [0, 39], weights) == 0.5
+    assert found_share(item, pieces, [0, 39], weights) == pytest.approx(0.5)
     swapped = pieces[39:] + pieces[26:39] + pieces[13:26] + pieces[:13]
     assert found_share(item, swapped, [0, 39], weights) < SHARE
     assert found_share(item, pieces[:13] + pieces[13:18], [0, 13], weights) == 0  # phrases without the item's own words
+    assert found_share(["a", "b"], ["x", "a", "b"], [1], np.ones(2)) == 1 and found_share(["a", "b"], ["a", "x", "b"], [0], np.ones(2)) == 0
+
+
+QUESTION = "What is the name of the pump that feeds it?"
+CHINESE = "老守塔人在雨夜里数了四十一只铜铃，却没有人记得磨坊主的名字。请问谁在码头丢了灯笼？"
+OTHERS = [f"What is the {a} of the {b} that {c} it in {d}?" for a in ("name", "pump", "age", "price", "size") for b in ("valve", "pump", "name", "boat") for c in ("feeds", "turns", "names") for d in range(5)]
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 0])
+@pytest.mark.parametrize("others", [0, 2, 300])
+def test_leaks_whatever_the_other_items(spark, others, rows):
+    """An item's result doesn't depend on how many others there are; short and Chinese ones, and items of one to four words."""
+    own = [PASSAGE, QUESTION, CHINESE, "Who sold it", "Paid 68 marks?", "Paid 86 marks?", "Kettles?", QUESTION]
+    items = spark.createDataFrame([*enumerate(own), *((1000 + i, t) for i, t in enumerate(OTHERS[:others]))], "item_id long, text string")
+    texts = [
+        FILLER + PASSAGE,
+        FILLER + QUESTION.lower() + FILLER,
+        "本发明涉及一种阀。" * 9 + CHINESE.replace("，", "\n") + "阀体由铜制成。" * 9,
+        FILLER + "Then who sold it, he asked. Paid 68 marks, they said.",
+        FILLER + "the kettles were sold. 86 paid",
+        FILLER + CHINESE[: len(CHINESE) * 6 // 10],
+        "阀体由铜制成。请问该阀的名字？" * 5,
+        FILLER,
+    ]
+    got = {(r.doc_id, r.item_id) for r in leaked_items(docs(spark, texts), items, index_rows=rows).collect() if r.item_id < 1000}
+    assert got == {(0, 0), (1, 1), (1, 7), (2, 2), (3, 3), (3, 4), (4, 6), (5, 2)}
+
+
+def test_half_an_item_with_faults(spark):
+    """Half of each of 60 alike items, every fifth word with a fault, in pieces of ten words."""
+    rng = np.random.default_rng(4)
+    names = ["".join(rng.choice(list("bdfgklmnprstv")) + rng.choice(list("aeiou")) for _ in range(3)) for _ in range(400)]
+    common = FILLER.split() + PASSAGE.split()[:12]
+    made = [[str(rng.choice(names)) if rng.random() < 0.35 else common[int(rng.integers(len(common)))] for _ in range(80)] for _ in range(60)]
+    texts = []
+    for words in made:
+        half = [w[:-1] + "x" if i % 5 == 4 and len(w) > 3 else w for i, w in enumerate(words)]
+        texts.append(FILLER + " ".join(" ".join(half[i : i + 10]) + " " + FILLER[:200] for i in range(0, 80, 20)))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(made)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id) for r in leaked_items(docs(spark, texts), items).collect()}
+    want = {(i, i) for i in range(60)}
+    assert found <= want and len(found) >= 57  # no more than a half, and of that a fifth in doubt
+
+
+def test_fold_keeps_digits_apart():
+    signs = [folded(c)[0] for c in "0123456789"]
+    assert len(set(signs)) == 10 and folded("ABC 10") == folded("abc lO") and folded("数了灯") == ["数", "了", "灯"]
 
 
 def test_leaks_of_nothing(spark):
