@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import importlib
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe.functions.keys import uniform_key_sql
 from cellframe.llm.groups import group_ids
 from cellframe.llm.percentiles import FRACTIONS, digest, digest_percentiles, merge, percentiles
-from cellframe.llm.sample import stable_sample
+from cellframe.llm.sample import lasting_store, stable_sample
 from cellframe.plans.catalogue import table
 
 QUERIES, ORACLES = {}, {}
@@ -70,12 +71,17 @@ KEYS = "(SELECT id, type, step, proc_id FROM grid_fields WHERE id IS NOT NULL)"
 
 @query(f"SELECT * FROM ({uniform_key_sql(KEYS, 'id', 7)}) WHERE u < {SHARE}")
 def p4_sample(spark, folder):
-    """The rows of the sampled 5 % of ids, fed in two arrivals: before and from the middle of arrived_at."""
+    """The rows of the sampled 5 % of ids, fed in two arrivals: before and from the middle of arrived_at.
+
+    The numbers and the threshold stay in the shared folder: a later session over
+    the same table finds them there.
+    """
     g = table(spark, folder, "grid_fields").select("id", "type", "step", "proc_id", "arrived_at")
     ends = g.agg(F.min("arrived_at").alias("lo"), F.max("arrived_at").alias("hi")).first()
     middle = F.lit(None).cast("timestamp_ntz") if ends.lo is None else F.lit(ends.lo + (ends.hi - ends.lo) / 2)
     early = F.coalesce(F.col("arrived_at") < middle, F.lit(False))
-    return stable_sample(g, SHARE, [early, ~early], seed=7).drop("arrived_at")
+    store = lasting_store(spark, f"grid_fields-{hashlib.sha256(folder.encode()).hexdigest()[:16]}", seed=7)
+    return stable_sample(g, SHARE, [early, ~early], store).drop("arrived_at")
 
 
 LINKED = f"""WITH RECURSIVE links AS (

@@ -10,6 +10,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cellframe.functions.keys import uniform_key_int
 from cellframe.llm.groups import group_ids
 from cellframe.llm.percentiles import FRACTIONS, digest, digest_percentiles, from_key, merge, percentiles, to_key
 from cellframe.llm.sample import NumberStore, stable_sample
@@ -109,6 +110,42 @@ def test_store_keeps_numbers_and_threshold(spark, tmp_path):
         later.threshold(1.5)
 
 
+def test_batches_only_add(spark, tmp_path):
+    store = NumberStore(spark, f"{tmp_path}/s")
+    store.insert(spark.range(10), batch=0)
+    held = {r.id: r.u for r in store.read().collect()}
+    store.insert(spark.range(100, 105), batch=0)  # a number that is taken, with other ids
+    assert store.read().count() == 15 and {r.id: r.u for r in store.read().where("id < 10").collect()} == held
+
+
+def test_numbers_come_from_the_store(spark, tmp_path):
+    """A second session with another seed: old ids keep their numbers, only new ones are drawn by its seed."""
+    one = NumberStore(spark, f"{tmp_path}/s", seed=1)
+    one.insert(spark.range(200))
+    old = {r.id: r.u for r in one.read().collect()}
+    other = spark.newSession()
+    two = NumberStore(other, f"{tmp_path}/s", seed=99)
+    rows = other.createDataFrame([(i, 0) for i in range(300)], "id long, x int")
+    got = {r.id: r.u for r in stable_sample(rows, 1.0, store=two).collect()}
+    assert len(got) == 300 and all(got[i] == u for i, u in old.items())
+    assert all(got[i] == uniform_key_int(i, 99) != uniform_key_int(i, 1) for i in range(200, 300))
+
+
+def test_two_writers_and_a_lost_one(spark, tmp_path):
+    a, b = NumberStore(spark, f"{tmp_path}/s", seed=1), NumberStore(spark, f"{tmp_path}/s", seed=2)
+    a.insert(spark.range(5))
+    seen = []
+    real = b.read
+    b.read = lambda: seen.append(a.insert(spark.range(5, 30))) or real() if not seen else real()  # a writes while b does
+    b.insert(spark.range(20, 40), batch=1)
+    b.read = real
+    spark.range(1000, 1010).selectExpr("id", "0.0 as u", "7L as batch").write.parquet(f"{tmp_path}/s/numbers-dead")  # a writer that was lost
+    now = {r.id: r.u for r in a.read().collect()}
+    assert set(now) == set(range(40)) and all(now[i] == uniform_key_int(i, 1) for i in range(30)) and now == {r.id: r.u for r in b.read().collect()}
+    a.insert(spark.range(40, 50))
+    assert {r.id: r.u for r in a.read().where("id < 40").collect()} == now
+
+
 def union_find(pairs):
     up = {}
 
