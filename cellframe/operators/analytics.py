@@ -159,7 +159,3 @@ def performance_advice(particles: int, cells: int, threads: int, cell_size: floa
     if cells > 100_000 * threads:
         out.append(f"more than 100000 cells a thread: {cells}")
     return out
-
-
-def column_or(df: DataFrame, name: str, default: Column) -> Column:
-    return F.col(name) if name in df.columns else default

@@ -93,6 +93,23 @@ def project(df: DataFrame, domain: Domain, splat: float, subdiv: int, values: di
     return sums.select(*(keys[k].alias(k) for k in KEY), *values)
 
 
+def cell_images(cells: DataFrame, domain: Domain, layers: int) -> DataFrame:
+    """Copies of the cells within `layers` of a periodic face, at the indices beyond the opposite face."""
+    out = cells.withColumn("__image", F.lit(False))
+    for i, c in enumerate(CELL):
+        if domain.periodic[i]:
+            n = domain.grid_dims[i]
+            shifts = [F.when((F.col(c) + o >= -layers) & (F.col(c) + o < n + layers), F.lit(o)) for o in (-n, 0, n)]
+            out = out.withColumn("__o", F.explode(F.filter(F.array(*shifts), lambda o: o.isNotNull())))
+            out = out.withColumns({c: (F.col(c) + F.col("__o")).cast("int"), "__image": F.col("__image") | (F.col("__o") != 0)}).drop("__o")
+    return out.where("__image").drop("__image")
+
+
+def wrap_cells(cells: DataFrame, domain: Domain) -> DataFrame:
+    """Cells beyond periodic faces at the indices that they are images of."""
+    return cells.withColumns({c: F.pmod(F.col(c), F.lit(domain.grid_dims[i])).cast("int") for i, c in enumerate(CELL) if domain.periodic[i]}) if any(domain.periodic) else cells
+
+
 def add_cell_values(*parts: DataFrame) -> DataFrame:
     """Cell values of several sources or owners added up by sub-cell."""
     every = parts[0]

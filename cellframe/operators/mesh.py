@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.functions.vec import AXES, add, cross, dot, norm2, scaled, sub, vec
+from cellframe.operators.ranking import dense_number
 
 TRI = "tri_id int, v0 array<double>, v1 array<double>, v2 array<double>"
 #: Triangles up to this number are broadcast, others are joined by bucket.
@@ -22,6 +23,30 @@ def triangles(spark: SparkSession, vertices, faces) -> DataFrame:
     return spark.createDataFrame(rows, TRI)
 
 
+def read_triangles(spark: SparkSession, path: str) -> DataFrame:
+    """A mesh of a file with lines of corners and of faces: `v x y z` and `f a b c` counted from 1, or lists under `vertices:` and `triangles:` counted from 0.
+
+    Lines keep the order of the file and are numbered on the executors; faces meet
+    their corners in three joins. Further columns of a corner or face (as in
+    a/b/c) aren't read; a face of an unknown corner raises when it is read.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("n"), F.trim("value").alias("line"))
+    start = lines.agg(F.min(F.when(F.col("line") == "vertices:", F.col("n"))).alias("v"), F.min(F.when(F.col("line") == "triangles:", F.col("n"))).alias("t")).first()
+    numbers = F.regexp_extract_all("line", F.lit(r"[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?"), 0)
+    if start.v is not None:
+        listed = lines.where(F.col("line").startswith("-")).select("n", numbers.alias("x"))
+        (vs, fs), base = ((listed.where((F.col("n") > a) & ((F.col("n") < b) if b > a else F.lit(True))) for a, b in ((start.v, start.t), (start.t, start.v))), 0)
+    else:
+        heads = F.transform(F.slice(F.split("line", r"\s+"), 2, 3), lambda w: F.split_part(w, F.lit("/"), F.lit(1)))
+        vs, fs, base = lines.where(F.col("line").startswith("v ")).select("n", heads.alias("x")), lines.where(F.col("line").startswith("f ")).select("n", heads.alias("x")), 1
+    vs = dense_number(vs, ["n"], "at").select("at", F.transform("x", lambda v: v.cast("double")).alias("r"))
+    out = dense_number(fs, ["n"], "tri_id").select(F.col("tri_id").cast("int").alias("tri_id"), *((F.col("x")[i].cast("long") - base).alias(f"c{i}") for i in range(3)))
+    for i in range(3):
+        out = out.join(vs.select(F.col("at").alias(f"c{i}"), F.col("r").alias(f"v{i}")), f"c{i}", "left")
+        out = out.withColumn(f"v{i}", F.when(F.col(f"v{i}").isNull(), F.raise_error(F.lit("a face has a corner that isn't there")).cast("array<double>")).otherwise(F.col(f"v{i}")))
+    return out.select("tri_id", "v0", "v1", "v2")
+
+
 def _corner(name: str) -> tuple[Column, Column, Column]:
     return tuple(F.col(name)[i] for i in range(3))
 
@@ -71,15 +96,20 @@ def _few(tri: DataFrame) -> bool:
     return tri.limit(BROADCAST_TRIANGLES + 1).count() <= BROADCAST_TRIANGLES
 
 
+def _once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Adds columns that later ones use several times: behind a generator each is computed once a row, not once a use."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def _closest(df: DataFrame, r, a, b, c) -> DataFrame:
     """Adds q: weights (u, v, w) of the point of triangle abc that is closest to r, by the region r projects into.
 
-    The products are columns of their own, so that the plan holds each once.
+    The products are columns of their own, so that each is computed once.
     """
     ab, ac, ap, bp, cp = sub(b, a), sub(c, a), sub(r, a), sub(r, b), sub(r, c)
-    df = df.withColumns({f"__d{i}": dot(x, y) for i, (x, y) in enumerate(((ab, ap), (ac, ap), (ab, bp), (ac, bp), (ab, cp), (ac, cp)), 1)})
+    df = _once(df, {f"__d{i}": dot(x, y) for i, (x, y) in enumerate(((ab, ap), (ac, ap), (ab, bp), (ac, bp), (ab, cp), (ac, cp)), 1)})
     d1, d2, d3, d4, d5, d6 = (F.col(f"__d{i}") for i in range(1, 7))
-    df = df.withColumns({"__vc": d1 * d4 - d3 * d2, "__vb": d5 * d2 - d1 * d6, "__va": d3 * d6 - d5 * d4})
+    df = _once(df, {"__vc": d1 * d4 - d3 * d2, "__vb": d5 * d2 - d1 * d6, "__va": d3 * d6 - d5 * d4})
     va, vb, vc = F.col("__va"), F.col("__vb"), F.col("__vc")
     one, zero = F.lit(1.0), F.lit(0.0)
     s_ab, s_ac, s_bc = d1 / (d1 - d3), d2 / (d2 - d6), (d4 - d3) / ((d4 - d3) + (d5 - d6))
@@ -93,7 +123,7 @@ def _closest(df: DataFrame, r, a, b, c) -> DataFrame:
         .when((va <= 0) & (d4 - d3 >= 0) & (d5 - d6 >= 0), pick(zero, one - s_bc, s_bc))
         .otherwise(pick(va / (va + vb + vc), vb / (va + vb + vc), vc / (va + vb + vc)))
     )
-    return df.withColumn("q", q)
+    return _once(df, {"q": q})
 
 
 def proximity(df: DataFrame, tri: DataFrame, max_dist: float, side: float | None = None) -> DataFrame:
@@ -112,7 +142,9 @@ def proximity(df: DataFrame, tri: DataFrame, max_dist: float, side: float | None
     away = sub(r, point)
     used = sum((F.when(F.col(f"q.{x}") > 0, 1).otherwise(0) for x in "uv"), F.when(F.col("q.w") > 0, 1).otherwise(0))
     behind = dot(sub(r, a), cross(sub(b, a), sub(c, a))) < 0
-    far = at.select("id", "tri_id", F.sqrt(norm2(away)).alias("distance"), (3 - used).alias("rank"), "q.u", "q.v", "q.w", behind.alias("behind")).where(F.col("distance") <= max_dist)
+    at = _once(at.select("id", "tri_id", "q", behind.alias("behind"), *(c.alias(f"o{a}") for c, a in zip(away, AXES))), {"rank": 3 - used})
+    away = vec("o")
+    far = at.select("id", "tri_id", F.sqrt(norm2(away)).alias("distance"), "rank", "q.u", "q.v", "q.w", "behind").where(F.col("distance") <= max_dist)
     best = far.groupBy("id").agg(F.min(F.struct("distance", "rank", "tri_id", "u", "v", "w", "behind")).alias("b"))
     kind = F.element_at(F.array(F.lit("triangle"), F.lit("edge"), F.lit("vertex")), F.col("b.rank") + 1)
     return best.select("id", "b.tri_id", kind.alias("kind"), "b.distance", "b.u", "b.v", "b.w", "b.behind")

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
 from cellframe.functions.vec import matvec, norm2
+from cellframe.runtime import Scratch, join_checked
+
+#: Positions of a bucket up to which one task compares them all.
+CROWD = 4096
 
 
 def nbh_dist(domain: Domain, rcut_max: float = 0.0, rcut_inc: float = 0.0, ghost_dist_max: float = 0.0, bond_max_dist: float = 0.0, bond_max_stretch: float = 0.0) -> dict[str, float]:
@@ -55,7 +59,9 @@ def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = Fal
     as it is there; an empty table gives no rows.
 
     Buckets are at least rcut wide, and only positions within rcut of a face are
-    copied to the bucket beyond it.
+    copied to the bucket beyond it. A bucket of more than CROWD positions is cut
+    by id into parts of about so many, each of which meets the whole bucket in a
+    task of its own; finding these buckets takes one pass over the positions.
     """
     reach = rcut / domain.scales[0] * (1 + 1e-12)
     good = F.col("id").isNotNull()
@@ -80,7 +86,14 @@ def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = Fal
     for i, (a, k) in enumerate(zip(AXES, keys)):
         right = right.withColumn("c", F.explode(_axis_copies(domain, i, F.col(f"r{a}"), widths[i], counts[i], reach)))
         right = right.withColumns({k: F.col("c.k"), f"b{a}": F.col(f"r{a}") + F.col("c.s")}).drop("c", f"r{a}")
-    pairs = left.join(right, keys)
+    on = keys
+    crowded = Scratch(df.sparkSession, "crowded").save(left.groupBy(*keys).count().where(F.col("count") > CROWD).select(*keys, F.ceil(F.col("count") / CROWD).cast("int").alias("__parts")), "buckets")
+    if n := crowded.count():
+        one = F.coalesce("__parts", F.lit(1))
+        left = join_checked(left, crowded, keys, "left", n).withColumn("__part", F.pmod(F.xxhash64("a"), one)).drop("__parts")
+        right = join_checked(right, crowded, keys, "left", n).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), one - F.lit(1).cast("long")))).drop("__parts")
+        on = [*keys, "__part"]
+    pairs = left.join(right, on)
     d = matvec(domain.xform, tuple(F.col(f"b{a}") - F.col(f"a{a}") for a in AXES))
     pairs = pairs.select("a", "b", *(c.alias(f"d{a}") for c, a in zip(d, AXES)), *(f"nb_{k}" for k in keep))
     pairs = pairs.withColumn("d2", norm2(tuple(F.col(f"d{a}") for a in AXES)))
@@ -164,8 +177,8 @@ def lennard_jones(df: DataFrame, domain: Domain, epsilon: float, sigma: float, r
 
 def gravity(df: DataFrame, domain: Domain, types: DataFrame, g: float, rcut: float) -> DataFrame:
     """Attraction g m_a m_b / r^2 by the masses of the types; a type without mass attracts nothing."""
-    mass = F.broadcast(types.groupBy("type").agg(F.first("mass").alias("__m")))
-    heavy = df.join(mass, "type", "left").withColumn("__m", F.coalesce("__m", F.lit(0.0)))
+    mass = types.groupBy("type").agg(F.first("mass").alias("__m"))
+    heavy = join_checked(df, mass, ["type"], "left", mass.count()).withColumn("__m", F.coalesce("__m", F.lit(0.0)))
     pairs = neighbors(heavy, domain, rcut, keep=("__m",))
     own = heavy.select(F.col("id").alias("a"), "__m").distinct()
     pairs = pairs.join(own, "a")

@@ -12,7 +12,9 @@ HEAVY_SHARE = 0.001
 
 
 def heavy_keys(counts: DataFrame, key: str, count: str, total: int, share: float = HEAVY_SHARE) -> DataFrame:
-    """Keys with at least `share` of `total` rows: no more than 1/share of them, so they can be broadcast."""
+    """Keys with at least `share` of `total` rows, and a thousand: no more than 1/share of them, so they can be broadcast."""
+    if total < 1000:
+        return counts.sparkSession.createDataFrame([], counts.select(key).schema)
     return counts.where(F.col(count) >= F.lit(max(1000.0, share * total))).select(key)
 
 

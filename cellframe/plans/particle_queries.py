@@ -11,8 +11,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cellframe.domain import AXES, Domain, extend_domain
-from cellframe.functions.curves import Spline
+from cellframe.domain import AXES, Domain
 from cellframe.functions.keys import uniform_key_sql
 from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, ranking, selection, snap, transform
 from cellframe.operators.regions import Regions, scaling, translation
@@ -164,16 +163,6 @@ def uniform_noise_r(spark, folder):
     return transform.uniform_noise(emb(spark, folder), "r", 0.05, seed=5).select("id", "rx", "ry", "rz")
 
 
-@query()
-def gaussian_noise_r(spark, folder):
-    return transform.gaussian_noise(emb(spark, folder), "r", 0.05, 0.04, seed=5).select("id", "rx", "ry", "rz")
-
-
-@query()
-def gaussian_noise_v(spark, folder):
-    return transform.gaussian_noise(emb(spark, folder), "v", 1.0, seed=6).select("id", "vx", "vy", "vz")
-
-
 @query(sql=f"{WITH} SELECT id, round(((floor(rx / 0.1)) + floor((rx / 0.1 - floor(rx / 0.1)) * 4294967296) / 4294967296) * 0.1, 9) AS rx FROM p")
 def backup_restore(spark, folder):
     """backup_r and restore_r: positions moved away and put back from the quantised backup."""
@@ -252,12 +241,6 @@ def grid_insert_particles(spark, folder):
     return particles.insert(emb(spark, folder), UNIT, new, {"A": 0, "B": 1}).select("id", "rx", "ry", "rz", "vx")
 
 
-@query(sql="SELECT type, name, mass, radius / 2 AS half FROM particle_types WHERE mass > 100")
-def particle_types(spark, folder):
-    """Type properties as a dimension table."""
-    return table(spark, folder, "particle_types").where("mass > 100").select("type", "name", "mass", (F.col("radius") / 2).alias("half"))
-
-
 HISTOGRAM = f"""{EV}, v AS (SELECT 'rx' AS plot, rx AS v FROM p UNION ALL SELECT 'rz', rz FROM p UNION ALL SELECT 'vx', vx FROM p),
 e2 AS (SELECT plot, min(v) AS lo, max(v) AS hi FROM v WHERE isfinite(v) GROUP BY plot),
 c AS (SELECT plot, least(floor(64 * (v - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END), 63)::INT AS bin, count(*) AS n FROM v JOIN e2 USING (plot) WHERE isfinite(v) GROUP BY ALL),
@@ -316,14 +299,6 @@ def simple_cost_model(spark, folder):
     return rounded(analytics.cell_costs(wrapped(spark, folder), UNIT, (1e-6, 1e-3, 1.0, 5.0)), ["cost"], 3)
 
 
-@query()
-def cost_model_fit(spark, folder):
-    """Coefficients fitted to times that follow the density; they come back in proportion."""
-    c = analytics.cell_costs(wrapped(spark, folder), UNIT, (0.0, 0.0, 1.0, 0.0)).select(F.col("cost").alias("density"))
-    fit = analytics.fit_cost_model(c.withColumn("time", 2.0 + F.col("density") * 3.0), order=1)
-    return spark.createDataFrame([tuple(fit)], "c3 double, c2 double, c1 double, c0 double")
-
-
 @query(sql=f"{WITH} SELECT round(sum(fx), 6) AS fx, round(sum(fy), 6) AS fy, round(sum(fz), 6) AS fz, round(sqrt(sum(fx) ** 2 + sum(fy) ** 2 + sum(fz) ** 2), 6) AS norm_sum, round(sum({norm_sql('f')}), 6) AS sum_norm FROM p")
 def debug_total_force(spark, folder):
     return rounded(analytics.total_force(emb(spark, folder)), ["fx", "fy", "fz", "norm_sum", "sum_norm"])
@@ -337,12 +312,6 @@ def particle_displ_over(spark, folder):
     return analytics.displaced(far, p.select("id", *(F.lit(0.0).alias(f"r{a}") for a in AXES)), 0.1)
 
 
-@query(sql=f"SELECT {float(np.linalg.det(np.array(SHEAR).reshape(3, 3))) * 8.0!r}::DOUBLE AS volume")
-def domain_volume(spark, folder):
-    d = Domain.cube(2.0, 4).override(xform=SHEAR)
-    return spark.createDataFrame([(d.volume(),)], "volume double")
-
-
 # Pairs by brute force over all images of the unit cube.
 PAIRS = f"""i AS (SELECT unnest([-1, 0, 1]) AS ix), j AS (SELECT unnest([-1, 0, 1]) AS iy), k AS (SELECT unnest([-1, 0, 1]) AS iz),
 nb AS (SELECT p.id AS a, q.id AS b, q.rx + ix - p.rx AS dx, q.ry + iy - p.ry AS dy, q.rz + iz - p.rz AS dz, p.type AS ta, q.type AS tb, q.vx AS nb_vx FROM w p, w q, i, j, k),
@@ -388,27 +357,6 @@ def remove_close_particles(spark, folder):
     return selection.remove_close(wrapped(spark, folder), UNIT, 0.05, SEED).select("id")
 
 
-LJ = "(-24.0 * (2.0 * pow(0.05 / sqrt(d2), 12) - pow(0.05 / sqrt(d2), 6)) / sqrt(d2))"
-
-
-@query(sql=f"{WRAPPED}, {PAIRS}, s AS (SELECT a AS id, " + ", ".join(f"sum({LJ} / sqrt(d2) * d{a}) AS s{a}" for a in AXES) + " FROM n WHERE d2 > 0.0009 GROUP BY a) SELECT w.id, " + ", ".join(f"round(coalesce(s{a}, 0), 3) AS f{a}" for a in AXES) + " FROM w LEFT JOIN s USING (id)")
-def lennard_jones_force(spark, folder):
-    """Pair forces, of pairs farther than 0.03 as its SQL has it; lennard_jones_force_all has every pair."""
-    p = transform.zero_force(wrapped(spark, folder))
-    pairs = neighbors.neighbors(p, UNIT, RCUT).where("d2 > 0.0009")
-    r = F.sqrt("d2")
-    s6 = F.pow(0.05 / r, F.lit(6.0))
-    out = neighbors.pair_force(p, pairs, -24.0 * (2.0 * s6 * s6 - s6) / r)
-    return rounded(out.select("id", "fx", "fy", "fz"), ["fx", "fy", "fz"], 3)
-
-
-@query()
-def lennard_jones_force_all(spark, folder):
-    """Forces of all pairs within the cut, the closest too; no SQL, as their sums agree in relative error only."""
-    p = transform.zero_force(wrapped(spark, folder))
-    return neighbors.lennard_jones(p, UNIT, 1.0, 0.05, RCUT).select("id", "fx", "fy", "fz")
-
-
 @query(sql=f"{WRAPPED}, {PAIRS}, s AS (SELECT a AS id, " + ", ".join(f"sum(1e-6 * x.mass * y.mass / d2 / sqrt(d2) * d{a}) AS s{a}" for a in AXES) + " FROM n JOIN particle_types x ON ta = x.type JOIN particle_types y ON tb = y.type GROUP BY a) SELECT w.id, " + ", ".join(f"round(coalesce(s{a}, 0), 4) AS f{a}" for a in AXES) + " FROM w LEFT JOIN s USING (id)")
 def gravitational_force(spark, folder):
     p = transform.zero_force(wrapped(spark, folder))
@@ -471,14 +419,6 @@ def fluid_friction(spark, folder):
     return rounded(out.select("id", "fx", "fy", "fz"), ["fx", "fy", "fz"])
 
 
-@query()
-def cc_label(spark, folder):
-    """Connected sub-cells of projected density, with their table."""
-    v = Scratch(spark, "cells").save(projected(spark, folder), "v")
-    labelled = components.label_components(v, UNIT, SUBDIV, "count", 0.2, 2)
-    return components.component_table(labelled, UNIT, SUBDIV, sums=["vx"])
-
-
 NEAR = f"""{WRAPPED}, c AS (SELECT {CELLS}, count(*) AS n FROM w GROUP BY ALL), on_ AS (SELECT *, ck * 100 + cj * 10 + ci AS u FROM c WHERE n >= 2),
 e AS (SELECT p.u, q.u AS v FROM on_ p, on_ q WHERE p.u <> q.u AND (abs(p.ci - q.ci) <= 1 OR abs(p.ci - q.ci) = 9) AND (abs(p.cj - q.cj) <= 1 OR abs(p.cj - q.cj) = 9) AND (abs(p.ck - q.ck) <= 1 OR abs(p.ck - q.ck) = 9))"""
 
@@ -496,21 +436,6 @@ def ball(spark):
     return mesh.triangles(spark, *mesh.sphere_mesh(0.3, 8, 12, (0.5, 0.5, 0.5)))
 
 
-@query()
-def trimesh_proximity(spark, folder):
-    return mesh.proximity(wrapped(spark, folder), ball(spark), 0.1).select("id", "tri_id", "kind", F.round("distance", 9).alias("distance"), "behind")
-
-
-@query()
-def trimesh_collision(spark, folder):
-    return mesh.collision(wrapped(spark, folder), ball(spark), 1.0, 0.1).select("id", "tri_id", F.round("u", 9).alias("u"))
-
-
-@query()
-def grid_triangle_intersections(spark, folder):
-    return mesh.bucket(ball(spark), 0.1).select("ti", "tj", "tk", "tri_id")
-
-
 WALL = ([(0.5, -1.0, -1.0), (0.5, 3.0, -1.0), (0.5, -1.0, 3.0)], [(0, 1, 2)])
 
 
@@ -522,29 +447,6 @@ def chunk_neighbors_no_surface_crossing(spark, folder):
     return mesh.without_crossings(p, pairs, mesh.triangles(spark, *WALL), 0.25).select("a", "b")
 
 
-KNOTS = ([0.0, 5.0, 12.0, 20.0, 30.0], [1.0, 1.5, 0.7, 1.1, 1.0])
-
-
-def _spline_sql() -> str:
-    pieces = Spline(*KNOTS).pieces()
-    when = " ".join(f"WHEN rx >= {k!r} THEN {y!r} + (rx - {k!r}) * ({b!r} + (rx - {k!r}) * ({c!r} + (rx - {k!r}) * {d!r}))" for k, y, b, c, d in reversed(pieces))
-    k, y, b, c, _ = pieces[0]
-    return f"CASE {when} ELSE {y!r} + (rx - {k!r}) * ({b!r} + (rx - {k!r}) * {c!r}) END"
-
-
-@query(sql=f"{EV} SELECT id, round({_spline_sql()}, 6) AS scale FROM p")
-def xform_time_interpolate(spark, folder):
-    """A spline of time evaluated at every event by an as-of lookup of its knots."""
-    return evt(spark, folder).select("id", F.round(Spline(*KNOTS).column(F.col("rx")), 6).alias("scale"))
-
-
-@query()
-def xform_time_interpolate_byparts(spark, folder):
-    series = [np.eye(3).ravel(), (np.eye(3) * 1.1).ravel(), (np.eye(3) * 0.9).ravel()]
-    rows = [(t, *map(float, deform.interpolated_by_parts([0.0, 1.0, 2.0], series, t / 4).ravel())) for t in range(12)]
-    return spark.createDataFrame(rows, "step int, " + ", ".join(f"m{i}{j} double" for i in "123" for j in "123"))
-
-
 @query(sql="SELECT step::INT AS step, 1 + 0.01 * step AS m11, 1::DOUBLE AS m22 FROM (SELECT unnest(generate_series(1, 10)) AS step)")
 def xform_constant_strain_rate(spark, folder):
     d, rows = UNIT, []
@@ -554,12 +456,6 @@ def xform_constant_strain_rate(spark, folder):
     return spark.createDataFrame(rows, "step int, m11 double, m22 double")
 
 
-@query()
-def deformation_xform(spark, folder):
-    m = deform.from_angles((math.pi / 2, math.pi / 2, math.pi / 3), (2.0, 1.0, 1.0))
-    return spark.createDataFrame([tuple(map(float, deform.deformed(UNIT, m).xform))], ", ".join(f"m{i}{j} double" for i in "123" for j in "123"))
-
-
 @query(sql=f"{WITH} SELECT id, {WRAP}, " + ", ".join(f"floor((((r{a} % 1) + 1) % 1) / 0.1)::INT AS {c}" for a, c in zip(AXES, cells.CELL)) + " FROM p")
 def move_particles(spark, folder):
     return transform.move_particles(emb(spark, folder), UNIT)[0].select("id", "rx", "ry", "rz", *cells.CELL)
@@ -577,19 +473,6 @@ def update_force_from_ghost(spark, folder):
     return rounded(partitioning.sum_from_images(images, ["fx"]), ["fx"], 9)
 
 
-@query(sql=f"{WRAPPED}, {SPLATS} SELECT {SUBKEYS}, round(2 * count, 6) AS count FROM sums WHERE count > 1e-6")
-def update_gcv_from_ghost(spark, folder):
-    """Cell values of two owners added by sub-cell."""
-    v = projected(spark, folder).select(*cells.KEY, "count").where(F.col("count") > 1e-6)
-    return rounded(cells.add_cell_values(v, v), ["count"])
-
-
-@query()
-def load_balance_rcb(spark, folder):
-    blocks = partitioning.recursive_bisection(analytics.cell_costs(wrapped(spark, folder), UNIT), UNIT, 8)
-    return spark.createDataFrame([(i, *lo, *hi, float(c)) for i, (lo, hi, c) in enumerate(blocks)], "block int, i0 int, j0 int, k0 int, i1 int, j1 int, k1 int, cost double")
-
-
 @query(sql="SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY ALL")
 def load_balance_partition(spark, folder):
     """Rows range-partitioned by z-order of their cells: the answer doesn't depend on it."""
@@ -605,47 +488,11 @@ def lineitem_particles(spark, folder):
     return p.groupBy("type").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.max("rx").alias("max_rx"))
 
 
-@query(sql=f"{EV} SELECT count(*) FILTER (rx < 0 OR rx >= 30 OR ry < 0 OR ry >= 30 OR rz < 0 OR rz >= 30) AS outside, min(rx) AS lo, max(rx) AS hi FROM p")
-def extend_domain_ends(spark, folder):
-    """The ends of the particles that extend_domain looks at."""
-    p = evt(spark, folder)
-    out = F.lit(False)
-    for a in AXES:
-        out = out | (F.col(f"r{a}") < 0) | (F.col(f"r{a}") >= 30)
-    return p.agg(F.count(F.when(out, 1)).alias("outside"), F.min("rx").alias("lo"), F.max("rx").alias("hi"))
-
-
-@query(sql="SELECT 'x' AS axis, 4 AS cells, -1::DOUBLE AS lo, 3::DOUBLE AS hi")
-def extend_domain_grown(spark, folder):
-    d, _ = extend_domain(Domain.cube(3.0, 3, (False, True, True), expandable=True), (-0.5, 0.0, 0.0), (2.5, 1.0, 1.0))
-    return spark.createDataFrame([("x", d.grid_dims[0], d.bmin[0], d.bmax[0])], "axis string, cells int, lo double, hi double")
-
-
 @query(sql=f"{WRAPPED} SELECT id, type, rx, vx FROM w WHERE id IN (3, 5, 8)")
 def debug_particle(spark, folder):
     return checks.particles_by_id(wrapped(spark, folder), [3, 5, 8]).select("id", "type", "rx", "vx")
 
 
-@query(sql=f"SELECT 0::DOUBLE AS pos_error, 0::DOUBLE AS vel_error, 0::DOUBLE AS acc_error, 0::BIGINT AS missing")
-def check_values(spark, folder):
-    """All rows against a written table whose positions are wrapped by plain arithmetic."""
-    golden = emb(spark, folder).withColumns({f"r{a}": (F.col(f"r{a}") % 1.0 + 1.0) % 1.0 for a in AXES}).select(*ALL)
-    return checks.check_values(wrapped(spark, folder), Scratch(spark, "golden").save(golden, "golden"), UNIT, fatal=False)
-
-
-@query(sql="SELECT 0::BIGINT AS outside")
-def check_particles_inside_cells(spark, folder):
-    moved = transform.move_particles(emb(spark, folder), UNIT)[0]
-    return checks.outside_cells(moved, UNIT).agg(F.count("*").alias("outside"))
-
-
-@query(sql="SELECT NULL::BIGINT AS a, NULL::BIGINT AS b, NULL AS why WHERE false")
-def verify_chunk_neighbors(spark, folder):
-    """The bucketed join against the same join from coarser buckets."""
-    p = wrapped(spark, folder)
-    return checks.verify_pairs(neighbors.neighbors(p, UNIT, RCUT), neighbors.neighbors(p, UNIT, 0.3).where(F.col("d2") <= RCUT * RCUT))
-
-
 @query(sql=f"{WRAPPED} SELECT {', '.join(c for c in ALL if c[0] != 'f')}, 0::DOUBLE AS fx, 0::DOUBLE AS fy, 0::DOUBLE AS fz FROM w")
 def dump_round_trip(spark, folder):
     """write_dump and read_dump."""
@@ -654,19 +501,12 @@ def dump_round_trip(spark, folder):
     return files.read_dump(spark, path)[0].select(*ALL)
 
 
-@query(sql=f"{WRAPPED} SELECT count(*) AS lines FROM w")
-def write_xyz(spark, folder):
-    """The lines of an extended XYZ file."""
-    lines = files.xyz_lines(wrapped(spark, folder), table(spark, folder, "particle_types"), ("id", "v."))
-    return lines.where(F.size(F.split(F.trim("value"), r"\s+")) == 8).agg(F.count("*").alias("lines"))
-
-
 @query(sql="WITH g AS (SELECT " + ", ".join(f"{n}::INT AS {n}" for n in cells.KEY) + " FROM " + ", ".join(f"(SELECT unnest(generate_series(0, {2 if n[0] == 'c' else 1})) AS {n})" for n in cells.KEY) + f") SELECT {KEY6}, ((ck * 2 + sk) * 36 + (cj * 2 + sj) * 6 + ci * 2 + si)::DOUBLE AS mask FROM g")
 def read_cell_values(spark, folder):
     """A legacy structured-points file read back: values count up in Fortran order."""
     path = f"{shared_folder(spark)}/cellframe-points.vtk"
     head = "# vtk DataFile Version 3.0\nmask\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS 6 6 6\nORIGIN 0 0 0\nSPACING 1 1 1\nPOINT_DATA 216\nSCALARS mask double 1\nLOOKUP_TABLE default\n"
-    files._text(spark, path, head + "\n".join(" ".join(str(v) for v in range(s, s + 8)) for s in range(0, 216, 8)) + "\n")
+    files.text(spark, path, head + "\n".join(" ".join(str(v) for v in range(s, s + 8)) for s in range(0, 216, 8)) + "\n")
     return files.read_cell_values(spark, path, Domain.cube(3.0, 3), 2, "mask")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import inspect
+import time as clock
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -25,6 +27,8 @@ class State:
     cell_values: DataFrame | None = None
     pairs: DataFrame | None = None
     plots: DataFrame | None = None
+    mesh: DataFrame | None = None
+    ghosts: DataFrame | None = None
     timestep: int = 0
     time: float = 0.0
     bag: dict = field(default_factory=dict)
@@ -48,6 +52,7 @@ def _on_particles(name: str, f: Callable[..., DataFrame], region: bool = False,
         args = (s.particles, s.domain) if domain else (s.particles,)
         return replace(s, particles=f(*args, **kw))
 
+    apply.takes = f
     OPERATORS[name] = apply
 
 
@@ -56,9 +61,6 @@ for _p in "rv":
     _on_particles(f"scale_{_p}", lambda df, value, regions=None, region=None, p=_p: transform.scale(df, p, value, regions, region), region=True)
 for _n, _p in (("set_velocity", "v"), ("set_force", "f")):
     _on_particles(_n, lambda df, value, regions=None, region=None, p=_p: transform.assign(df, p, value, regions, region), region=True)
-for _p in "rvf":
-    _on_particles(f"gaussian_noise_{_p}", lambda df, sigma, cut=None, seed=0, p=_p: transform.gaussian_noise(df, p, sigma, cut, seed))
-    _on_particles(f"uniform_noise_{_p}", lambda df, sigma, seed=0, p=_p: transform.uniform_noise(df, p, sigma, seed))
 for _n, _d, _s in (("push_v_r", "r", "v"), ("push_f_v", "v", "f"), ("push_f_r", "r", "f")):
     _on_particles(_n, lambda df, domain, dt, dt_scale=1.0, mode="IDENTITY", d=_d, s=_s: transform.push_first(df, d, s, dt, dt_scale, domain, mode), domain=True)
 _on_particles("push_f_v_r", lambda df, domain, dt, dt_scale=1.0, mode="INV_XFORM": transform.push_second(df, dt, dt_scale, domain, mode), domain=True)
@@ -103,11 +105,6 @@ def _lattice(s: State, **kw) -> State:
     return replace(s, particles=s.particles.unionByName(made, allowMissingColumns=True))
 
 
-@operator("move_particles")
-def _move(s: State) -> State:
-    return replace(s, particles=transform.move_particles(s.particles, s.domain)[0])
-
-
 @operator("chunk_neighbors")
 def _neighbors(s: State, rcut: float, **kw) -> State:
     return replace(s, pairs=neighbors.neighbors(s.particles, s.domain, rcut, **kw))
@@ -218,6 +215,9 @@ def _lj(s: State, **kw) -> State:
     return replace(s, particles=neighbors.lennard_jones(s.particles, s.domain, **kw))
 
 
+_lj.takes = neighbors.lennard_jones
+
+
 @operator("gravitational_force")
 def _gravity(s: State, g: float, rcut: float) -> State:
     return replace(s, particles=neighbors.gravity(s.particles, s.domain, s.types, g, rcut))
@@ -319,29 +319,63 @@ for _n, _f in (
     ("grid_stats", lambda s: analytics.grid_stats(s.particles, s.domain)),
     ("debug_total_force", lambda s: analytics.total_force(s.particles)),
     ("chunk_neighbors_stats", lambda s: neighbors.neighbor_stats(s.particles, s.pairs)),
-    ("simple_cost_model", lambda s: analytics.cell_costs(s.particles, s.domain)),
     ("check_particles_inside_cells", lambda s: checks.outside_cells(s.particles, s.domain)),
 ):
     OPERATORS[_n] = lambda s, n=_n, f=_f: replace(s, bag=s.bag | {n: f(s)})
 
-# What the engine's shuffle, memory and scheduling do without being told: these names change nothing.
-COVERED = """chunk_neighbors_init rebuild_amr amr_grid_pairs resize_grid_cell_values resize_particle_locks init_rcb_grid
-load_balance_rcb load_balance_no_costs load_balance_random cpu_gpu_load_balance cell_owner_rank subdomain_neighbors
-migrate_cell_particles migrate_cell_particles_double migrate_cell_particles_int move_particles_double move_particles_int
-ghost_comm_scheme ghost_update_all ghost_update_all_no_fv ghost_update_r ghost_update_opt ghost_update_all_no_gcv
-ghost_update_all_no_fv_no_gcv ghost_update_r_no_gcv ghost_update_opt_no_gcv update_force_from_ghost update_opt_from_ghost
-update_force_from_ghost_no_gcv update_opt_from_ghost_no_gcv update_gcv_from_ghost update_ghost_config backup_r_lt_move_data
-start_grid_cell_profiling grid_memory_compact grid_clear_ghosts mpi_barrier mpi_dup particle_displ_over_async_end
-print_ghost_comm_scheme print_ghost_comm_stats memory_log""".split()
-for _n in COVERED:
-    OPERATORS.setdefault(_n, lambda s, **_: s)
-
-
-def run_pipeline(state: State, steps: Sequence[dict | str]) -> State:
-    """Applies [{"operator": {arguments}}, ...] in order; an unknown operator raises before anything runs."""
-    named = [(s, {}) if isinstance(s, str) else next(iter(s.items())) for s in steps]
-    if unknown := [n for n, _ in named if n not in OPERATORS]:
+#: Batches that a run has unless it gives its own: the second-order scheme around a force.
+SCHEME: dict[str, list | dict] = {
+    "compute_force_prolog": ["zero_particle_force"],
+    "compute_force": ["nop"],
+    "compute_force_epilog": ["nop"],
+    "compute_all_forces_energy": ["compute_force_prolog", "compute_force", "compute_force_epilog"],
+    "verlet_first_half": [{"push_f_v_r": {"dt_scale": 1.0, "mode": "INV_XFORM"}}, {"push_f_v": {"dt_scale": 0.5}}],
+    "check_and_update_particles": ["move_particles"],
+    "verlet_second_half": [{"push_f_v": {"dt_scale": 0.5}}],
+    "numerical_scheme": ["verlet_first_half", "check_and_update_particles", "compute_all_forces_energy", "verlet_second_half"],
+}
+
+
+def resolve(name: str) -> str | None:
+    """The registered name of an operator; the memory log is known under any vendor's prefix."""
+    if name in OPERATORS:
+        return name
+    return "memory_log" if name.endswith("_memory_log") else None
+
+
+def _flat(steps, batches: dict, within: tuple = ()) -> list[tuple[str, dict]]:
+    out = []
+    for step in steps:
+        name, arguments = (step, None) if isinstance(step, str) else next(iter(step.items()))
+        batch = batches.get(name)
+        if isinstance(batch, list):
+            if name in within:
+                raise ValueError(f"batch {name!r} calls itself")
+            out += _flat(batch, batches, (*within, name))
+        else:
+            out.append((name, (batch or {}) | (arguments or {})))
+    return out
+
+
+def run_pipeline(state: State, steps: Sequence[dict | str], batches: dict | None = None, settings: dict | None = None) -> State:
+    """Applies [{"operator": {arguments}}, ...] in order; an unknown operator raises before anything runs.
+
+    `batches` names lists of steps, and dicts of arguments that an operator has
+    wherever it isn't given others. `settings` (dt, rcut and the like) go to every
+    operator that has a parameter of the name and isn't given it.
+    """
+    named = _flat(steps, SCHEME | (batches or {}))
+    if unknown := [n for n, _ in named if resolve(n) is None]:
         raise KeyError(f"unknown operators {unknown}")
     for name, arguments in named:
-        state = OPERATORS[name](state, **(arguments or {}))
+        f, began = OPERATORS[resolve(name)], clock.time()
+        if settings:
+            known = inspect.signature(getattr(f, "takes", f)).parameters
+            arguments = {k: v for k, v in settings.items() if k in known} | arguments
+        state = f(state, **arguments)
+        if state.bag.get("stage_seconds") is not None:
+            state = replace(state, bag=state.bag | {"stage_seconds": [*state.bag["stage_seconds"], (name, clock.time() - began)]})
     return state
+
+
+from cellframe.plans import stages  # noqa: E402, F401  registers the further stages

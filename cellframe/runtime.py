@@ -36,6 +36,19 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def text(spark: SparkSession, path: str, content: str) -> None:
+    """Writes one small file through the cluster's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def clear_scratch() -> None:
     """Deletes the tables this process wrote to the shared folder; results not yet read are lost. Runs at exit, too."""
     while _WRITTEN:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import dataclasses
 import json
-import os
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
@@ -17,18 +16,11 @@ from pyspark.sql import functions as F
 from cellframe.domain import AXES, Domain
 from cellframe.operators.cells import KEY
 from cellframe.operators.ranking import dense_number
+from cellframe.runtime import exists, join_checked, text  # noqa: F401
 
 FORCE = {"fx", "fy", "fz"}
 
 
-def _text(spark: SparkSession, path: str, content: str) -> None:
-    """Writes one small file through the cluster's file system."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
-    out.write(bytearray(content.encode()))
-    out.close()
-
-
 def write_dump(df: DataFrame, domain: Domain, path: str, timestep: int = 0, time: float = 0.0, compression: str = "zstd", by_cells: bool = False) -> None:
     """A snapshot of all fields but the force: Parquet beside a JSON header of domain, time and step.
 
@@ -40,7 +32,7 @@ def write_dump(df: DataFrame, domain: Domain, path: str, timestep: int = 0, time
         kept = domain.with_cells(kept, ("__i", "__j", "__k")).sortWithinPartitions("__k", "__j", "__i").drop("__i", "__j", "__k")
     kept.write.mode("overwrite").option("compression", compression).parquet(f"{path}/particles")
     head = {"domain": dataclasses.asdict(domain) | {"mirror": sorted(domain.mirror)}, "timestep": timestep, "time": time}
-    _text(df.sparkSession, f"{path}/header.json", json.dumps(head))
+    text(df.sparkSession, f"{path}/header.json", json.dumps(head))
 
 
 def read_dump(spark: SparkSession, path: str, filter_=None) -> tuple[DataFrame, Domain, int, float]:
@@ -72,7 +64,8 @@ def xyz_lines(df: DataFrame, types: DataFrame | None = None, fields: tuple[str,
     """One text column: type name (XX if unknown), position, then the fields the patterns match in full."""
     names = [c for c in df.columns if c not in ("type", "rx", "ry", "rz") and any(re.fullmatch(p, c) for p in fields)]
     if types is not None:
-        df = df.join(F.broadcast(types.groupBy("type").agg(F.first("name").alias("__name"))), "type", "left")
+        named = types.groupBy("type").agg(F.first("name").alias("__name"))
+        df = join_checked(df, named, ["type"], "left", named.count())
     label = F.coalesce(F.col("__name"), F.lit("XX")) if types is not None else F.lit("XX")
     whole = {n for n, t in df.dtypes if t in ("int", "bigint", "smallint", "tinyint")}
     parts = ["%s", *["% .10e"] * 3, *("% 10d" if n in whole else "% .10e" for n in names)]
@@ -91,7 +84,7 @@ def write_xyz(df: DataFrame, domain: Domain, path: str, types: DataFrame | None
     columns = ":".join(["species:S:1", "pos:R:3", *(f"{n}:{'I' if t in ('int', 'bigint') else 'R'}:1" for n in names for t in [dict(df.dtypes)[n]])])
     lines = xyz_lines(df, types, fields)
     lines.write.mode("overwrite").text(path)
-    _text(df.sparkSession, f"{path}/_header", f'{df.count()}\nLattice="{vectors}" Properties={columns} Time={time}\n')
+    text(df.sparkSession, f"{path}/_header", f'{df.count()}\nLattice="{vectors}" Properties={columns} Time={time}\n')
 
 
 def read_cell_values(spark: SparkSession, path: str, domain: Domain, subdiv: int, name: str, order: str = "F") -> DataFrame:
@@ -127,70 +120,143 @@ def read_cell_values(spark: SparkSession, path: str, domain: Domain, subdiv: int
     return numbered.select(*(keys[k].alias(k) for k in KEY), F.col("v").cast("double").alias(name))
 
 
+#: Sub-cells along an axis of an image piece at most, so that a piece stays some megabytes.
+PIECE_CELLS = 64
+#: Particles of a point piece at most.
+PIECE_POINTS = 100_000
+
+
 def write_grid(cells: DataFrame, domain: Domain, subdiv: int, path: str, fields: list[str]) -> None:
-    """Cell values as VTK image data: a piece a slab of cells along z, and the file that names them.
+    """Cell values as VTK image data: a piece a block of cells (PIECE_CELLS an axis at most), and the file that names them.
 
-    Every task writes the slabs of its partition; absent sub-cells are 0.
+    Absent sub-cells, and null values, are 0; a sub-cell with several rows has the
+    value of one of them.
     """
-    nx, ny, nz = (d * subdiv for d in domain.grid_dims)
+    n = [d * subdiv for d in domain.grid_dims]
+    side = [min(PIECE_CELLS, k) for k in n]
+    blocks = [-(-k // w) for k, w in zip(n, side)]
     spacing, origin = domain.cell_size / subdiv, domain.bmin
-    base = path.removeprefix("file:")
+
+    def ends(block: int) -> list[tuple[int, int]]:
+        at = (block % blocks[0], block // blocks[0] % blocks[1], block // (blocks[0] * blocks[1]))
+        return [(i * w, min((i + 1) * w, k)) for i, w, k in zip(at, side, n)]
+
+    def extent(block: int) -> str:
+        return " ".join(f"{lo} {hi}" for lo, hi in ends(block))
 
     def piece(frame: pd.DataFrame) -> pd.DataFrame:
-        k = int(frame["ck"].iloc[0])
-        z0, z1 = k * subdiv, (k + 1) * subdiv
-        extent = f"0 {nx} 0 {ny} {z0} {z1}"
-        x, y, z = (frame[c].to_numpy() * subdiv + frame[s].to_numpy() for c, s in zip(KEY[:3], KEY[3:]))
-        out = [f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">\n<ImageData WholeExtent="{extent}" Origin="{origin[0]} {origin[1]} {origin[2]}" Spacing="{spacing} {spacing} {spacing}">\n<Piece Extent="{extent}">\n<CellData>']
+        block = int(frame["block"].iloc[0])
+        (x0, x1), (y0, y1), (z0, z1) = ends(block)
+        held = frame[frame["kx"].notna()]
+        x, y, z = (held[k].to_numpy(int) for k in ("kx", "ky", "kz"))
+        out = [f'<?xml version="1.0"?>\n<VTKFile type="ImageData" version="0.1" byte_order="LittleEndian">\n<ImageData WholeExtent="{extent(block)}" Origin="{origin[0]} {origin[1]} {origin[2]}" Spacing="{spacing} {spacing} {spacing}">\n<Piece Extent="{extent(block)}">\n<CellData>']
         for f in fields:
-            grid = np.zeros((z1 - z0, ny, nx))
-            grid[z - z0, y, x] = frame[f].to_numpy(float)
+            grid = np.zeros((z1 - z0, y1 - y0, x1 - x0))
+            grid[z - z0, y - y0, x - x0] = np.nan_to_num(held[f].to_numpy(float))
             out.append(f'<DataArray type="Float64" Name="{f}" format="ascii">\n{" ".join(map(repr, grid.ravel().tolist()))}\n</DataArray>')
         out.append("</CellData>\n</Piece>\n</ImageData>\n</VTKFile>\n")
-        return pd.DataFrame({"name": [f"piece-{k}.vti"], "content": ["\n".join(out)]})
-
-    files = cells.select(*KEY, *fields).groupBy("ck").applyInPandas(piece, "name string, content string")
-    _write_named(files, base)
-    parts = "\n".join(f'<Piece Extent="0 {nx} 0 {ny} {k * subdiv} {(k + 1) * subdiv}" Source="{PurePosixPath(base).name}/piece-{k}.vti"/>' for k in range(domain.grid_dims[2]))
+        return pd.DataFrame({"name": [f"piece-{block}.vti"], "content": ["\n".join(out)]})
+
+    at = [(F.col(c) * subdiv + F.col(s)).alias(k) for c, s, k in zip(KEY[:3], KEY[3:], ("kx", "ky", "kz"))]
+    values = cells.select(*at, *(F.col(f).cast("double").alias(f) for f in fields))
+    i, j, k = (F.floor(F.col(c) / w).cast("long") for c, w in zip(("kx", "ky", "kz"), side))
+    values = values.withColumn("block", i + blocks[0] * (j + blocks[1] * k))
+    every = cells.sparkSession.range(blocks[0] * blocks[1] * blocks[2]).select(F.col("id").alias("block"))  # empty blocks are written too
+    pieces = values.unionByName(every, allowMissingColumns=True).groupBy("block").applyInPandas(piece, "name string, content string")
+    names = _write_named(pieces, path)
+    parts = "\n".join(f'<Piece Extent="{extent(int(m[1]))}" Source="{PurePosixPath(path).name}/{m[0]}"/>' for m in (re.fullmatch(r"piece-(\d+)\.vti", x) for x in names))
     arrays = "\n".join(f'<PDataArray type="Float64" Name="{f}"/>' for f in fields)
-    _text(cells.sparkSession, f"{path}.pvti", f'<?xml version="1.0"?>\n<VTKFile type="PImageData" version="0.1" byte_order="LittleEndian">\n<PImageData WholeExtent="0 {nx} 0 {ny} 0 {nz}" GhostLevel="0" Origin="{origin[0]} {origin[1]} {origin[2]}" Spacing="{spacing} {spacing} {spacing}">\n<PCellData>\n{arrays}\n</PCellData>\n{parts}\n</PImageData>\n</VTKFile>\n')
-
+    text(cells.sparkSession, f"{path}.pvti", f'<?xml version="1.0"?>\n<VTKFile type="PImageData" version="0.1" byte_order="LittleEndian">\n<PImageData WholeExtent="0 {n[0]} 0 {n[1]} 0 {n[2]}" GhostLevel="0" Origin="{origin[0]} {origin[1]} {origin[2]}" Spacing="{spacing} {spacing} {spacing}">\n<PCellData>\n{arrays}\n</PCellData>\n{parts}\n</PImageData>\n</VTKFile>\n')
 
-def _write_named(files: DataFrame, base: str) -> None:
-    """Each row (name, content) as a file under a folder that all executors share; a repeated task writes the same file again."""
 
-    def put(rows: Iterator) -> None:
-        os.makedirs(base, exist_ok=True)
-        for r in rows:
-            with open(f"{base}/.{r.name}.tmp", "w") as f:
-                f.write(r.content)
-            os.replace(f"{base}/.{r.name}.tmp", f"{base}/{r.name}")
+def _write_named(pieces: DataFrame, path: str) -> list[str]:
+    """Each row (name, content) as a file of that name under path, in whatever file system it is; the names.
 
-    files.foreachPartition(put)
+    Spark's committer writes the rows, a folder a name, so a task that runs twice
+    leaves one file; the driver then moves each to its name. What stood under path
+    before goes.
+    """
+    spark = pieces.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(conf)
+    parts = f"{path}.parts"
+    pieces.select("name", F.col("content").alias("value")).write.mode("overwrite").partitionBy("name").text(parts)
+    fs.delete(at(path), True)
+    fs.mkdirs(at(path))
+    names = []
+    for folder in fs.listStatus(at(parts)):
+        name = folder.getPath().getName().removeprefix("name=")
+        if folder.isDirectory():
+            for file in fs.listStatus(folder.getPath()):
+                if file.getPath().getName().startswith("part-"):
+                    if not fs.rename(file.getPath(), at(f"{path}/{name}")):
+                        raise OSError(f"{name} couldn't be moved to {path}")
+                    names.append(name)
+    fs.delete(at(parts), True)
+    return sorted(names)
 
 
 def write_points(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Particles as VTK point sets: one piece a partition, and the file that names them."""
-    base = path.removeprefix("file:")
+    """Particles as VTK point sets: pieces of at most PIECE_POINTS points, and the file that names them. Null numbers are written as nan."""
 
     def piece(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        frame = pd.concat([*frames]) if frames else pd.DataFrame()
-        n, number = len(frame), TaskContext.get().partitionId()
-        if n:
-            spots = " ".join(f"{v!r}" for row in frame[["rx", "ry", "rz"]].to_numpy().tolist() for v in row)
-            arrays = "\n".join(f'<DataArray type="{"Int64" if frame[f].dtype.kind in "iu" else "Float64"}" Name="{f}" format="ascii">{" ".join(map(repr, frame[f].tolist()))}</DataArray>' for f in fields)
-            text = f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n<Piece NumberOfPoints="{n}" NumberOfVerts="0" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">\n<Points>\n<DataArray type="Float64" NumberOfComponents="3" format="ascii">{spots}</DataArray>\n</Points>\n<PointData>\n{arrays}\n</PointData>\n</Piece>\n</PolyData>\n</VTKFile>\n'
-            yield pd.DataFrame({"name": [f"piece-{number}.vtp"], "content": [text]})
-
-    files = df.select("rx", "ry", "rz", *fields).mapInPandas(piece, "name string, content string")
-    _write_named(files, base)
+        count = 0
+        for whole in frames:
+            for start in range(0, len(whole), PIECE_POINTS):
+                frame = whole.iloc[start : start + PIECE_POINTS]
+                spots = " ".join(f"{v!r}" for row in frame[["rx", "ry", "rz"]].to_numpy(float).tolist() for v in row)
+                arrays = "\n".join(f'<DataArray type="{"Int64" if frame[f].dtype.kind in "iu" else "Float64"}" Name="{f}" format="ascii">{" ".join(map(repr, frame[f].tolist()))}</DataArray>' for f in fields)
+                content = f'<?xml version="1.0"?>\n<VTKFile type="PolyData" version="0.1" byte_order="LittleEndian">\n<PolyData>\n<Piece NumberOfPoints="{len(frame)}" NumberOfVerts="0" NumberOfLines="0" NumberOfStrips="0" NumberOfPolys="0">\n<Points>\n<DataArray type="Float64" NumberOfComponents="3" format="ascii">{spots}</DataArray>\n</Points>\n<PointData>\n{arrays}\n</PointData>\n</Piece>\n</PolyData>\n</VTKFile>\n'
+                yield pd.DataFrame({"name": [f"piece-{TaskContext.get().partitionId()}-{count}.vtp"], "content": [content]})
+                count += 1
+
+    names = _write_named(df.select("rx", "ry", "rz", *fields).mapInPandas(piece, "name string, content string"), path)
     kinds = dict(df.dtypes)
     arrays = "\n".join(f'<PDataArray type="{"Int64" if kinds[f] in ("int", "bigint") else "Float64"}" Name="{f}"/>' for f in fields)
-    names = sorted(n for n in (os.listdir(base) if os.path.isdir(base) else []) if n.startswith("piece-"))
-    parts = "\n".join(f'<Piece Source="{PurePosixPath(base).name}/{n}"/>' for n in names)
-    _text(df.sparkSession, f"{path}.pvtp", f'<?xml version="1.0"?>\n<VTKFile type="PPolyData" version="0.1" byte_order="LittleEndian">\n<PPolyData GhostLevel="0">\n<PPoints><PDataArray type="Float64" NumberOfComponents="3"/></PPoints>\n<PPointData>\n{arrays}\n</PPointData>\n{parts}\n</PPolyData>\n</VTKFile>\n')
+    parts = "\n".join(f'<Piece Source="{PurePosixPath(path).name}/{n}"/>' for n in names)
+    text(df.sparkSession, f"{path}.pvtp", f'<?xml version="1.0"?>\n<VTKFile type="PPolyData" version="0.1" byte_order="LittleEndian">\n<PPolyData GhostLevel="0">\n<PPoints><PDataArray type="Float64" NumberOfComponents="3"/></PPoints>\n<PPointData>\n{arrays}\n</PPointData>\n{parts}\n</PPolyData>\n</VTKFile>\n')
+
+
+def _pieces(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """The whole texts of the pieces that an index file names."""
+    index = "\n".join(r.value for r in spark.read.text(f"{path}.{end}").collect())  # one line a piece
+    names = re.findall(r'Source="[^"]*/([^"/]+)"', index)
+    return spark.read.text([f"{path}/{n}" for n in names], wholetext=True) if names else spark.createDataFrame([], "value string")
+
+
+def _array(content: str, name: str | None, kind=float) -> list:
+    found = re.search(r"<DataArray[^>]*NumberOfComponents[^>]*>([^<]*)<" if name is None else rf'<DataArray[^>]*Name="{re.escape(name)}"[^>]*>([^<]*)<', content)
+    return [kind(x) for x in found[1].split()]
+
+
+def read_points(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
+    """rx, ry, rz and fields of a point set written by write_points; whole numbers come back as longs."""
+    index = "\n".join(r.value for r in spark.read.text(f"{path}.pvtp").collect())
+    whole = {f: f'type="Int64" Name="{f}"' in index for f in fields}
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["value"]:
+                r = np.array(_array(content, None)).reshape(-1, 3)
+                yield pd.DataFrame({"rx": r[:, 0], "ry": r[:, 1], "rz": r[:, 2], **{f: _array(content, f, int if whole[f] else float) for f in fields}})
+
+    return _pieces(spark, path, "pvtp").mapInPandas(rows, "rx double, ry double, rz double" + "".join(f", `{f}` {'long' if whole[f] else 'double'}" for f in fields))
+
+
+def read_grid(spark: SparkSession, path: str, field: str) -> DataFrame:
+    """kx, ky, kz (sub-cells of the whole grid) and a field of an image written by write_grid."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["value"]:
+                x0, x1, y0, y1, z0, z1 = map(int, re.search(r'<Piece Extent="([^"]*)"', content)[1].split())
+                z, y, x = np.meshgrid(range(z0, z1), range(y0, y1), range(x0, x1), indexing="ij")
+                yield pd.DataFrame({"kx": x.ravel(), "ky": y.ravel(), "kz": z.ravel(), field: _array(content, field)})
+
+    return _pieces(spark, path, "pvti").mapInPandas(rows, f"kx int, ky int, kz int, `{field}` double")
 
 
 def write_component_table(table: DataFrame, path: str, gyration: bool = True, extra: tuple[str, ...] = ()) -> None:
@@ -221,5 +287,12 @@ def describe(domain: Domain) -> str:
     return "\n".join([f"bounds      = {domain.bmin} .. {domain.bmax}", f"grid        = {' x '.join(map(str, domain.grid_dims))} cells of {domain.cell_size}", f"periodic    = {domain.periodic}", f"mirror      = {sorted(domain.mirror)}", f"expandable  = {domain.expandable}", f"xform       = {domain.xform}", f"volume      = {domain.volume()}"])
 
 
+def describe_grid(domain: Domain, ghost_layers: int = 0) -> str:
+    g, far = ghost_layers, domain.cell_size * ghost_layers
+    rows = [("origin", tuple(lo - far for lo in domain.bmin)), ("cell size", domain.cell_size), ("dims", tuple(d + 2 * g for d in domain.grid_dims)), ("dims no ghost", domain.grid_dims), ("ghost layers", g)]
+    rows += [("bounds", (tuple(lo - far for lo in domain.bmin), tuple(hi + far for hi in domain.bmax))), ("bounds no ghost", (domain.bmin, domain.bmax))]
+    return "\n".join(f"{n:16}= {v}" for n, v in rows)
+
+
 def stats_line(timestep: int, time: float, stats) -> str:
     return f"{timestep:9d} {time:13.6e} {stats.n:12d} {stats.sum_v2:16.9e} {stats.max_vel:13.6e} {stats.max_acc:13.6e}"

@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from cellframe.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings grid_fields neighbors particle_types regions sim_domain benchmark common_words".split()
@@ -17,14 +18,19 @@ def plain(v):
     return float(v) if type(v).__name__ == "Decimal" else str(v)
 
 
-CHECKED = ["region_stats", "p1_found", "p1_totals", "p2_found", "chunk_neighbors", "particle_cell_projection", "grid_particle_histogram", "remove_count", "cc_sizes"]
+CHECKED = sorted(catalogue.ORACLES)
 
 
-@pytest.mark.parametrize("name", CHECKED)
-def test_query_equals_sql(spark, name):
+def tables():
     c = duckdb.connect()
     for t in TABLES:
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_equals_sql(spark, name):
+    c = tables()
     df = entry.queries()[name](spark, SF)
     names = sorted(df.columns)
     got = sorted((tuple(plain(r[n]) for n in names) for r in df.collect()), key=str)
