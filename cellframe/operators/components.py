@@ -100,7 +100,7 @@ def label_components(cells: DataFrame, domain: Domain, subdiv: int, field: str,
     for i, k in enumerate(inner):
         face = face | (k == 0) | (k == BLOCK - 1) | (F.col(f"k{AXES[i]}") == n[i] - 1)
     edge = local.where(face)
-    around = F.array(*(F.struct(*(F.lit(v).alias(f"o{a}") for v, a in zip(o, AXES))) for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0)))
+    around = F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{chr(39)}o{a}{chr(39)}, {v}' for v, a in zip(o, AXES)) + ')' for o in itertools.product((-1, 0, 1), repeat=3) if o > (0, 0, 0))})")
     moved = edge.select(F.col("local").alias("v"), "kx", "ky", "kz", F.inline(around))
     left = F.lit(False)
     for a in AXES:

@@ -8,7 +8,9 @@ the exact test. Cells proven outside are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from cellframe.domain import AXES, Domain
 
 OUTSIDE = -1
-COVER = "region_id int, level int, kx int, ky int, kz int, interior boolean"
+COVER = "__row int, level int, kx int, ky int, kz int, interior boolean"
 
 
 @dataclass(frozen=True)
@@ -91,13 +93,26 @@ def cover(shape: Shape, domain: Domain, max_cells: int = 2048, max_level: int =
     return done
 
 
-def shapes_of(regions: DataFrame, max_regions: int = 4096) -> list[Shape]:
-    """The regions on the driver; more than max_regions raise, as their coverage is broadcast."""
-    rows = regions.select("region_id", "bmin", "bmax", "quadric", "id_start", "id_end").limit(max_regions + 1).collect()
-    if len(rows) > max_regions:
-        raise ValueError(f"more than {max_regions} regions: cover and join them in parts")
+#: Cells of the coverage that one join broadcasts at most, some three megabytes; more regions are joined in further parts.
+PART_CELLS = 50_000
+
+
+def covers(regions: DataFrame, domain: Domain, max_cells: int, max_level: int) -> Iterator[tuple[list[tuple], list[tuple]]]:
+    """The regions, numbered by row, and their coverage, in parts of at most PART_CELLS cells (one region's cells stay together).
+
+    Regions come to the driver one partition at a time; nothing of the points does.
+    """
     tup = lambda v: None if v is None else tuple(v)
-    return [Shape(r.region_id, tup(r.bmin), tup(r.bmax), tup(r.quadric), r.id_start, r.id_end) for r in rows]
+    rows: list[tuple] = []
+    part: list[tuple] = []
+    for n, r in enumerate(regions.select("region_id", "id_start", "id_end", "bmin", "bmax", "quadric").toLocalIterator()):
+        cells = cover(Shape(n, tup(r.bmin), tup(r.bmax), tup(r.quadric)), domain, max_cells, max_level)
+        if part and len(part) + len(cells) > PART_CELLS:
+            yield rows, part
+            rows, part = [], []
+        rows.append((n, *r))
+        part += cells
+    yield rows, part
 
 
 def regions_of_points(points: DataFrame, regions: DataFrame, domain: Domain, max_cells: int = 2048, max_level: int = 8) -> DataFrame:
@@ -106,14 +121,20 @@ def regions_of_points(points: DataFrame, regions: DataFrame, domain: Domain, max
     A row lies in a region if id_start <= id < id_end, bmin <= r <= bmax and
     (r,1) Q (r,1)^T <= 0, on wrapped positions; a null restriction restricts
     nothing. Rows with null id or a null or non-finite coordinate take no part.
-    The coverage that is broadcast has at most max_regions * max_cells rows.
+    A region_id that stands in several rows has the points of each. The coverage
+    is broadcast in parts of at most PART_CELLS rows, with a pass over the points
+    each.
     """
+    parts = [_of_part(points, regions, domain, *part) for part in covers(regions, domain, max_cells, max_level)]
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def _of_part(points: DataFrame, regions: DataFrame, domain: Domain, rows: list[tuple], cells: list[tuple]) -> DataFrame:
     spark = points.sparkSession
-    shapes = shapes_of(regions)
-    cells = [c for s in shapes for c in cover(s, domain, max_cells, max_level)]
     covered = F.broadcast(spark.createDataFrame(cells, COVER))
     levels = sorted({c[1] for c in cells if c[1] != OUTSIDE})
-    limits = F.broadcast(regions.select(F.col("region_id").alias("__rid"), "id_start", "id_end", "bmin", "bmax", "quadric"))
+    kind = regions.schema["region_id"].dataType.simpleString()
+    limits = F.broadcast(spark.createDataFrame(rows, f"__row int, region_id {kind}, id_start long, id_end long, bmin array<double>, bmax array<double>, quadric array<double>"))
     r = [F.col(f"r{a}") for a in AXES]
     finite = F.col("id").isNotNull()
     for c in r:
@@ -126,10 +147,10 @@ def regions_of_points(points: DataFrame, regions: DataFrame, domain: Domain, max
     nowhere = F.array(F.struct(F.lit(OUTSIDE).alias("level"), *(F.lit(0).alias(f"k{a}") for a in AXES)))
     keys = F.when(within, F.array(*(struct(level) for level in levels))).otherwise(nowhere) if levels else nowhere
     hit = w.select("id", *AXES, F.inline(keys)).join(covered, ["level", "kx", "ky", "kz"])
-    near = hit.join(limits, hit.region_id == F.col("__rid"))
+    near = hit.join(limits, "__row")
     ids = F.coalesce(F.col("id") >= F.col("id_start"), F.lit(True)) & F.coalesce(F.col("id") < F.col("id_end"), F.lit(True))
     exact = F.lit(True)
     for i, a in enumerate(AXES):
         exact = exact & F.coalesce(F.col(a) >= F.col("bmin")[i], F.lit(True)) & F.coalesce(F.col(a) <= F.col("bmax")[i], F.lit(True))
     exact = exact & F.coalesce(quadric_value(F.col("quadric"), *(F.col(a) for a in AXES)) <= 0, F.lit(True))
-    return near.where(ids & (F.col("interior") | exact)).select("id", F.col("region_id")).distinct()
+    return near.where(ids & (F.col("interior") | exact)).select("id", "region_id")

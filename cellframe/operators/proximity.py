@@ -1,11 +1,13 @@
 """Pairs of points closer than a distance, across cell faces and periodic faces.
 
 Work is on distinct positions, so copies at one place never pair with each
-other. Coarse cells, some distances wide, meet in an equi-join; only points near
-a face are copied to the neighbouring cell. In a coarse cell that holds many
-positions the ball around a point is covered by fine cells whose diagonal is the
-distance: points in one fine cell are accepted by the join alone, points of the
-fine cells around it get the exact test.
+other. The ball around a point is covered adaptively: by the coarse cells it
+meets, which are boundary cells whose points get the exact test, and where such
+a cell holds many positions by fine cells whose diagonal is the distance. The
+fine cell of the point itself is interior: the join alone accepts its points.
+Those around it that the ball can reach are boundary cells again. Only points
+near a coarse face are copied to the cell beyond it, and a pair within one
+coarse cell is looked for from one side only.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
-from cellframe.runtime import BROADCAST_ROWS, Scratch, join_checked
+from cellframe.operators.skew import heavy_keys
+from cellframe.runtime import Scratch, join_checked
 
 FAR = 1e15
 
@@ -62,7 +65,9 @@ def _copies(domain: Domain, widths, numbers, reach: float) -> Column:
 def position_pairs(positions: DataFrame, domain: Domain, distance: float, dense: int = 64, coarse: float = 8.0) -> DataFrame:
     """Unordered pairs of distinct positions x, y, z (wrapped) with 0 < d <= distance: ax..az, bx..bz.
 
-    A pair may come out twice (once each way round, or from two cells); positions must be distinct rows.
+    Each pair comes out once, one way round: within a coarse cell by the order of
+    its ends or by the direction of the fine cells, of two coarse cells in the
+    smaller one. Positions must be distinct rows.
     """
     for i in range(3):
         if domain.periodic[i] and domain.size[i] < 3 * distance:
@@ -98,7 +103,12 @@ def _crowded(domain: Domain, distance: float, left: DataFrame, right: DataFrame,
     fine = lambda p: [_index(domain, i, widths[i], numbers[i], F.col(f"{p}{a}")) for i, a in enumerate(AXES)]
     reach = [math.ceil(distance / w) for w in widths]
     around = [o for o in itertools.product(*(range(-r, r + 1) for r in reach)) if sum((max(0, abs(k) - 1) * w) ** 2 for k, w in zip(o, widths)) <= distance**2]
-    offsets = F.array(*(F.struct(*(F.lit(v).cast("long").alias(f"o{a}") for v, a in zip(o, AXES))) for o in around))
+    listed = lambda cells: F.expr(f"array({', '.join('named_struct(' + ', '.join(f'{chr(39)}o{a}{chr(39)}, {v}L' for v, a in zip(o, AXES)) + ')' for o in cells)})")
+    home = F.lit(True)
+    for a in AXES:
+        home = home & (F.col(f"g{a}") == F.col(f"k{a}"))
+    # Within one coarse cell half of the directions do; a copy from another cell is met from there alone, so it takes all.
+    offsets = F.when(home, listed([o for o in around if o >= (0, 0, 0)])).otherwise(listed(around))
     spread = right.withColumns(dict(zip(("fx", "fy", "fz"), fine("b")))).select("*", F.inline(offsets))
     wrap = lambda c, n: F.pmod(c, F.lit(n).cast("long")) if n else c
     spread = spread.withColumns({f"f{a}": wrap(F.col(f"f{a}") + F.col(f"o{a}"), numbers[i]) for i, a in enumerate(AXES)})
@@ -110,7 +120,35 @@ def _crowded(domain: Domain, distance: float, left: DataFrame, right: DataFrame,
             bounded = bounded & (F.abs(F.col(f"a{a}")) < 1e6 * max(1.0, domain.size[i]))
     differ = (F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by")) | (F.col("az") != F.col("bz"))
     accepted = F.col("same") & bounded & differ
-    return kept.join(spread, [*keys, "fx", "fy", "fz"]).where(once & (accepted | _close(domain, distance)))
+    return kept.join(spread, [*keys, "fx", "fy", "fz"]).where((once | ~F.col("same")) & (accepted | _close(domain, distance)))
+
+
+def near_classes(points: DataFrame, domain: Domain, distance: float, dense: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The compact form of near_pairs: (links, members).
+
+    `links` are the pairs of distinct positions (ax, ay, az, bx, by, bz) with
+    0 < d <= distance, each once; `members` says which ids stand at which position
+    (id, x, y, z). Both are as long as the data however many ids share a position.
+    """
+    scratch = Scratch(points.sparkSession, "near")
+    finite = F.col("id").isNotNull()
+    for a in AXES:
+        finite = finite & (F.abs(F.col(f"r{a}")) < float("inf"))
+    rows = points.where(finite).select(F.col("id").cast("long").alias("id"), *(domain.wrapped(i, F.col(f"r{a}").cast("double")).alias(a) for i, a in enumerate(AXES)))
+    members = scratch.save(rows.select("id", *((F.col(a) + F.lit(0.0)).alias(a) for a in AXES)).distinct(), "members")
+    return scratch.save(position_pairs(members.select(*AXES).distinct(), domain, distance, dense), "links"), members
+
+
+def _with_ids(links: DataFrame, members: DataFrame, side: str, hot: list, salts: int = 32) -> DataFrame:
+    """links joined with the ids at one end; the ids of hot positions are spread over tasks, their links repeated in each."""
+    on = [f"{side}{a}" for a in AXES]
+    ids = members.select(F.col("id").alias(side), *(F.col(a).alias(f"{side}{a}") for a in AXES))
+    if not hot:
+        return links.join(ids, on)
+    full = F.xxhash64(*on).isin(hot)
+    spread = F.when(full, F.pmod(F.xxhash64(side), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    copies = F.when(full, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return links.withColumn("__salt", F.explode(copies)).join(ids.withColumn("__salt", spread), [*on, "__salt"]).drop("__salt")
 
 
 def near_pairs(points: DataFrame, domain: Domain, distance: float, dense: int = 64) -> DataFrame:
@@ -120,22 +158,11 @@ def near_pairs(points: DataFrame, domain: Domain, distance: float, dense: int =
     periodic axes, to the nearest image. Rows with null id or a null or
     non-finite coordinate take no part; repeated rows and further columns change
     nothing; an empty table gives no pairs. Positions at one place (d = 0) are no
-    pair, however many ids share it.
+    pair, however many ids share it. Where many ids share positions near_classes
+    gives the same in a compact form.
     """
-    scratch = Scratch(points.sparkSession, "near")
-    finite = F.col("id").isNotNull()
-    for a in AXES:
-        finite = finite & (F.abs(F.col(f"r{a}")) < float("inf"))
-    rows = points.where(finite).select(F.col("id").cast("long").alias("id"), *(domain.wrapped(i, F.col(f"r{a}").cast("double")).alias(a) for i, a in enumerate(AXES)))
-    rows = rows.select("id", *((F.col(a) + F.lit(0.0)).alias(a) for a in AXES))
-    places = rows.select(*AXES).distinct()
-    found = scratch.save(position_pairs(places, domain, distance, dense), "pairs")
-    n = found.count()
-    for p in "ab":
-        ids = rows.select(F.col("id").alias(p), *(F.col(a).alias(f"{p}{a}") for a in AXES))
-        on = [f"{p}{a}" for a in AXES]
-        if n <= BROADCAST_ROWS:
-            used = F.broadcast(found.select(*on).distinct()) if p == "a" else F.broadcast(found.select(*on).distinct())
-            ids = ids.join(used, on, "left_semi")
-        found = found.join(ids.distinct(), on)
+    links, members = near_classes(points, domain, distance, dense)
+    shared = members.groupBy(F.xxhash64(*AXES).alias("place")).count()
+    hot = [r.place for r in heavy_keys(shared, "place", "count", members.count()).collect()]
+    found = _with_ids(_with_ids(links, members, "a", hot), members, "b", hot)
     return found.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -3,7 +3,8 @@ import pytest
 
 from cellframe.domain import Domain
 from cellframe.operators.coverage import Shape, classify, cover, quadric_bounds, regions_of_points
-from cellframe.operators.proximity import near_pairs
+from cellframe.operators import coverage, proximity
+from cellframe.operators.proximity import near_classes, near_pairs
 
 D = Domain.cube(10.0, 10, (True, True, False))
 POINTS = "id long, rx double, ry double, rz double, a string"
@@ -36,6 +37,26 @@ def test_near_against_brute_force(spark, dense):
     assert got == brute(points, 0.1)
 
 
+def test_hot_positions(spark, monkeypatch):
+    """A third of all ids at one place: the same pairs, and a compact form as long as the data."""
+    monkeypatch.setattr(proximity, "heavy_keys", lambda counts, key, count, total: counts.where(f"{count} > 20").select(key))
+    points = [(i, (5.0, 5.0, 5.0)) for i in range(60)] + [(100 + i, (5.0, 5.0, 5.0 + 0.001 * i)) for i in range(1, 40)] + [(200 + i, (0.01 * i, 9.99, 1.0)) for i in range(60)]
+    got = [(r.a, r.b) for r in near_pairs(frame(spark, points), D, 0.1, 8).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(points, 0.1)
+    links, members = near_classes(frame(spark, points), D, 0.1, 8)
+    assert members.count() == len(points) and len({frozenset([tuple(r)[:3], tuple(r)[3:]]) for r in links.collect()}) == links.count() < len(got)
+
+
+def test_many_regions_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "PART_CELLS", 100)
+    rng = np.random.default_rng(9)
+    rows = [(i, "b", None, None, [float(x) for x in lo], [float(x) for x in lo + 2], None) for i, lo in enumerate(rng.uniform(0, 8, (30, 3)))]
+    points = [(i, tuple(p)) for i, p in enumerate(rng.uniform(0, 10, (200, 3)))]
+    want = {(i, r[0]) for i, p in points for r in rows if all(lo <= x <= hi for lo, x, hi in zip(r[4], p, r[5]))}
+    assert {(r.id, r.region_id) for r in regions_of_points(frame(spark, points), spark.createDataFrame(rows, REGIONS), D).collect()} == want
+    assert regions_of_points(frame(spark, points), spark.createDataFrame([], REGIONS), D).count() == 0
+
+
 def test_near_on_empty_and_repeated(spark):
     assert near_pairs(frame(spark, []), D, 0.1).count() == 0
     assert near_pairs(frame(spark, [(1, (1, 1, 1))] * 3 + [(2, (1, 1, 1))]), D, 0.1).count() == 0
