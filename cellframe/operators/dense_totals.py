@@ -22,6 +22,8 @@ from cellframe.runtime import fresh
 
 BLOCK = 4096
 LIMB = 26
+#: Bytes of dense arrays that a task holds at most, whatever the number of keys.
+HELD_BYTES = 64 << 20
 PACKED = "block long, split long, payload binary"
 
 
@@ -52,8 +54,13 @@ def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _accumulate(values: int, scale: float, limit: float):
-    """Mapper over (code, v...) batches: one entry for each block that the split touches."""
+    """Mapper over (code, v...) batches: one entry for each block that the split touches.
+
+    Dense arrays are held up to HELD_BYTES; of blocks beyond them each batch sends
+    what it has, added up within the batch, as the reduction adds entries anyway.
+    """
     width = 1 + 3 * values
+    most = max(1, HELD_BYTES // (8 * width * BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,11 +83,17 @@ def _accumulate(values: int, scale: float, limit: float):
                 part[2 + 3 * i] = np.bincount(at, fixed >> LIMB, len(slots))
                 part[3 + 3 * i] = np.bincount(at, fixed & ((1 << LIMB) - 1), len(slots))
             cut = np.flatnonzero(np.diff(slots // BLOCK)) + 1
-            for piece in np.split(np.arange(len(slots)), cut):
-                b = int(slots[piece[0]] // BLOCK)
-                if b not in blocks:
+            sent = []
+            for lo, hi in zip([0, *cut], [*cut, len(slots)]):
+                b, at = int(slots[lo] // BLOCK), slots[lo:hi] % BLOCK
+                if b not in blocks and len(blocks) < most:
                     blocks[b] = np.zeros((width, BLOCK), np.int64)
-                blocks[b][:, slots[piece] % BLOCK] += part[:, piece]
+                if b in blocks:
+                    blocks[b][:, at] += part[:, lo:hi]
+                else:
+                    sent.append((b, split, np.concatenate([at, part[:, lo:hi].ravel()]).tobytes()))
+            if sent:
+                yield _batch(sent)
         if blocks:
             yield _batch([(b, split, _pack(s)) for b, s in sorted(blocks.items())])
 
@@ -88,18 +101,23 @@ def _accumulate(values: int, scale: float, limit: float):
 
 
 def _reduce(width: int):
-    """Mapper over entries of whole groups (block, split): streams them into one array a group."""
+    """Mapper over entries sorted by (block, split): streams each group into one array and sends its sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        now, sums = None, np.zeros((width, BLOCK), np.int64)
         for batch in batches:
+            ready = []
             for b, s, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (b, s) != now:
+                    if now is not None:
+                        ready.append((*now, _pack(sums)))
+                    now, sums[:] = (b, s), 0
                 used, part = _unpack(payload, width)
-                if (b, s) not in sums:
-                    sums[b, s] = np.zeros((width, BLOCK), np.int64)
-                sums[b, s][:, used] += part
-        if sums:
-            yield _batch([(b, s, _pack(x)) for (b, s), x in sorted(sums.items())])
+                sums[:, used] += part
+            if ready:
+                yield _batch(ready)
+        if now is not None:
+            yield _batch([(*now, _pack(sums))])
 
     return run
 
@@ -128,20 +146,23 @@ def dense_totals(df: DataFrame, axes: list[Axis], values: dict[str, Column], sca
     rows; repeated rows all count; other columns of df are not read.
 
     Learned axes are collected and must have at most `dictionary_limit` values
-    (64 k values of one column); with more the same sums come from a salted
-    two-stage aggregate instead.
+    (64 k values of one column), and are broadcast; with more the same rows come
+    from a salted two-stage aggregate instead. An axis has the type int if it is
+    sized or its column is int or smaller, bigint otherwise, on both ways.
     """
     spark = df.sparkSession
     names = [a.name for a in axes]
     code, *tmp = fresh(df, "code", *(f"a{i}" for i in range(len(axes))), *(f"v{i}" for i in range(len(values))))
     cells, vals = tmp[: len(axes)], tmp[len(axes) :]
     flat = df.select(*(a.column.cast("long").alias(c) for a, c in zip(axes, cells)), *(v.cast("double").alias(c) for v, c in zip(values.values(), vals)))
+    whole = ("int", "smallint", "tinyint")
+    kinds = {a.name: "int" if a.size is not None or df.select(a.column).dtypes[0][1] in whole else "bigint" for a in axes}
     learned = {}
     for a, c in zip(axes, cells):
         if a.size is None:
             found = [r[0] for r in flat.select(c).where(F.col(c).isNotNull()).distinct().limit(dictionary_limit + 1).collect()]
             if len(found) > dictionary_limit:
-                return _salted_totals(flat, axes, cells, list(values), vals, scale, limit)
+                return _salted_totals(flat, axes, cells, list(values), vals, scale, limit, kinds)
             learned[a.name] = sorted(found)
     sizes = [a.size if a.size is not None else max(1, len(learned[a.name])) for a in axes]
     none = math.prod(sizes)
@@ -150,9 +171,10 @@ def dense_totals(df: DataFrame, axes: list[Axis], values: dict[str, Column], sca
         if a.size is not None:
             index = F.when((F.col(c) >= 0) & (F.col(c) < size), F.col(c))
         else:
-            index = F.array_position(F.lit(learned[a.name]) if learned[a.name] else F.array().cast("array<bigint>"), F.col(c)) - 1
-            if len(learned[a.name]) > 16:
-                index = F.element_at(F.create_map(*(F.lit(x) for i, v in enumerate(learned[a.name]) for x in (v, i))), F.col(c)).cast("long")
+            code_of = f"{c}_i"
+            table = spark.createDataFrame([(v, i) for i, v in enumerate(learned[a.name])], f"`{c}` bigint, `{code_of}` bigint")
+            flat = flat.join(F.broadcast(table), c, "left")  # at most dictionary_limit rows
+            index = F.col(code_of)
         place = place * size + index
     coded = flat.select(F.coalesce(place, F.lit(none).cast("long")).alias(code), *vals)
     width = 1 + 3 * len(values)
@@ -160,7 +182,7 @@ def dense_totals(df: DataFrame, axes: list[Axis], values: dict[str, Column], sca
     out = coded.mapInArrow(_accumulate(len(values), scale, limit), PACKED)
     while True:
         out = out.withColumn("split", F.floor(F.col("split") / fan_in))
-        out = out.repartition("block", "split").mapInArrow(_reduce(width), PACKED)
+        out = out.repartition("block", "split").sortWithinPartitions("block", "split").mapInArrow(_reduce(width), PACKED)
         splits = math.ceil(splits / fan_in)
         if splits <= 1:
             break
@@ -169,23 +191,22 @@ def dense_totals(df: DataFrame, axes: list[Axis], values: dict[str, Column], sca
     keys, rest = [], F.col("code")
     for a, size in reversed(list(zip(axes, sizes))):
         i = rest % size
-        value = F.element_at(F.lit(learned[a.name]), (i + 1).cast("int")) if learned.get(a.name) else i
-        keys.append(F.when(F.col("code") < none, value).cast("int" if a.size is not None or _fits(learned[a.name]) else "long").alias(a.name))
+        if learned.get(a.name):
+            names_of = spark.createDataFrame([(v, k) for k, v in enumerate(learned[a.name])], f"`__v_{a.name}` bigint, `__i_{a.name}` bigint")
+            out = out.withColumn(f"__i_{a.name}", i).join(F.broadcast(names_of), f"__i_{a.name}", "left")
+            i = F.col(f"__v_{a.name}")
+        keys.append(F.when(F.col("code") < none, i).cast(kinds[a.name]).alias(a.name))
         rest = F.floor(rest / size)
     sums = [c for i, v in enumerate(values) for c in (F.col(f"m{i}").alias(f"n_{v}"), _total(F.col(f"hi{i}"), F.col(f"lo{i}"), scale).alias(f"sum_{v}"))]
     return out.select(*reversed(keys), "n", *sums)
 
 
-def _fits(found: list[int]) -> bool:
-    return not found or -(2**31) <= found[0] and found[-1] < 2**31
-
-
 def _total(hi: Column, lo: Column, scale: float) -> Column:
     whole = hi.cast("decimal(28,0)") * F.lit(1 << LIMB).cast("decimal(9,0)") + lo.cast("decimal(28,0)")
     return whole.cast("double") / F.lit(scale)
 
 
-def _salted_totals(flat, axes, cells, values, vals, scale, limit, salts: int = 64) -> DataFrame:
+def _salted_totals(flat, axes, cells, values, vals, scale, limit, kinds, salts: int = 64) -> DataFrame:
     """The exact way for keys too many for arrays: partial sums by key and salt, then by key."""
     ok = F.lit(True)
     for a, c in zip(axes, cells):
@@ -195,4 +216,4 @@ def _salted_totals(flat, axes, cells, values, vals, scale, limit, salts: int = 6
     salted = keyed.groupBy(*names, F.spark_partition_id().__mod__(salts).alias("__salt"))
     first = salted.agg(F.count("*").alias("n"), *(x for v in values for x in (F.count(v).alias(f"n_{v}"), F.sum(F.col(v).cast("decimal(38,0)")).alias(f"s_{v}"))))
     both = first.groupBy(*names).agg(F.sum("n").alias("n"), *(x for v in values for x in (F.sum(f"n_{v}").alias(f"n_{v}"), F.sum(f"s_{v}").alias(f"s_{v}"))))
-    return both.select(*(F.col(a.name).cast("int") if a.size is not None else F.col(a.name) for a in axes), "n", *(x for v in values for x in (F.col(f"n_{v}"), (F.coalesce(F.col(f"s_{v}").cast("double"), F.lit(0.0)) / scale).alias(f"sum_{v}"))))
+    return both.select(*(F.col(a.name).cast(kinds[a.name]) for a in axes), "n", *(x for v in values for x in (F.col(f"n_{v}"), (F.coalesce(F.col(f"s_{v}").cast("double"), F.lit(0.0)) / scale).alias(f"sum_{v}"))))
