@@ -51,14 +51,32 @@ def p3_percentiles(spark, folder):
     return percentiles(_days(spark, folder), "type", "day", V)
 
 
-@query()
+# A double's lattice cell: 12 bits of exponent (with the sign apart) and 8 of mantissa; negative values count down from -1.
+ABS = "abs(value)"
+EXPONENT = f"CASE WHEN pow(2::DOUBLE, floor(log2({ABS}))) > {ABS} THEN floor(log2({ABS})) - 1 WHEN pow(2::DOUBLE, floor(log2({ABS})) + 1) <= {ABS} THEN floor(log2({ABS})) + 1 ELSE floor(log2({ABS})) END"
+LATTICE_SQL = f"""v AS ({_values("recorded_at::DATE", "")}), e AS (SELECT *, CASE WHEN value = 0 THEN -1023 ELSE {EXPONENT} END AS e FROM v),
+c AS (SELECT *, CASE WHEN value = 0 THEN 0 ELSE ((e + 1023) * 256 + floor(({ABS} / pow(2::DOUBLE, e) - 1) * 256))::BIGINT END AS a FROM e),
+cells AS (SELECT type, day, component, CASE WHEN value < 0 THEN -1 - a ELSE a END AS cell FROM c)"""
+RANKS = ", ".join(f"({q})" for q in FRACTIONS)
+# Least and greatest size of a cell's values, by the cell counted without its sign.
+LEAST = "CASE WHEN a = 0 THEN 0 ELSE pow(2::DOUBLE, a // 256 - 1023) * (1 + (a % 256) / 256) END"
+MOST = f"CASE WHEN a = 0 THEN {(2**44 - 1) * 2.0**-1074!r}::DOUBLE ELSE pow(2::DOUBLE, a // 256 - 1023) * (1 + (a % 256 + 1) / 256 - {2.0**-52!r}::DOUBLE) END"
+
+
+@query(f"WITH {LATTICE_SQL} SELECT type, day, component, cell, count(*) AS n FROM cells GROUP BY ALL")
 def p3_digests(spark, folder):
     """The summaries of each type and day that add up: counts on the fixed lattice."""
     named = F.element_at(F.lit(V), F.col("component") + 1)
     return digest(_days(spark, folder).where("type is not null"), ["type", "day"], V).withColumn("component", named)
 
 
-@query()
+@query(
+    f"""WITH {LATTICE_SQL}, n AS (SELECT type, component, cell, count(*) AS n FROM cells GROUP BY ALL),
+r AS (SELECT *, sum(n) OVER (PARTITION BY type, component ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY type, component) AS total FROM n),
+t AS (SELECT *, greatest(1, ceil(total * f)) AS rank FROM r, (VALUES {RANKS}) q(f)),
+h AS (SELECT type, component, f::DOUBLE AS fraction, total::BIGINT AS total, cell < 0 AS neg, CASE WHEN cell < 0 THEN -1 - cell ELSE cell END AS a FROM t WHERE rank > upto - n AND rank <= upto)
+SELECT type, component, fraction, total, CASE WHEN neg THEN -({MOST}) ELSE {LEAST} END AS lo, CASE WHEN neg THEN -({LEAST}) ELSE {MOST} END AS hi FROM h"""
+)
 def p3_merged(spark, folder):
     """Bounds of each percentile of a type, from the digests of its days."""
     days = digest(_days(spark, folder).where("type is not null"), ["type", "day"], V)

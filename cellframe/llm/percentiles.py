@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.operators.skew import heavy_keys, salted_join
 from cellframe.runtime import BROADCAST_ROWS, Scratch
 
 FRACTIONS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -129,7 +130,7 @@ def digest_percentiles(digests: DataFrame, groups: list[str]) -> DataFrame:
     return t.select(*groups, "component", "fraction", "total", _value(F.shiftleft("cell", shift)).alias("lo"), _value(F.shiftleft("cell", shift) + F.lit((1 << shift) - 1)).alias("hi"))
 
 
-def percentiles(df: DataFrame, group: str, part: str, values: list[str]) -> DataFrame:
+def percentiles(df: DataFrame, group: str, part: str, values: list[str], broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Exact percentiles of finite values, per group and part of it, and per group as a whole (part null).
 
     Columns: group, part, component (the value's name), n, p01 .. p99. The
@@ -137,7 +138,8 @@ def percentiles(df: DataFrame, group: str, part: str, values: list[str]) -> Data
     ascending order: an element of the data, error 0. Rows with a null group
     belong to no group; rows with a null part count for the whole only. Nulls,
     NaN and infinite values don't count; a group with no finite value of a
-    component has no row for it. Ties and repeated rows count each.
+    component has no row for it. Ties and repeated rows count each. Up to
+    broadcast_rows intervals go to every task; more meet the values by shuffle.
     """
     scratch = Scratch(df.sparkSession, "percentiles")
     rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(part).alias("p"), *values)
@@ -151,11 +153,20 @@ def percentiles(df: DataFrame, group: str, part: str, values: list[str]) -> Data
     shift = 64 - LATTICE
     open_ = state.select(*names, "component", "prefix").distinct()
     keyed = rows.mapInArrow(_keyed(len(values)), f"{_ddl(rows, ['g', 'p'])}, component int, key long").withColumn("prefix", F.shiftright("key", shift))
-    small = (lambda d: F.broadcast(d)) if goal <= BROADCAST_ROWS else (lambda d: d)
-    ends = small(open_.where("whole").select("g", "component", "prefix", F.lit(True).alias("in_whole")))
-    days = small(open_.where("not whole").select("g", "p", "component", "prefix", F.lit(True).alias("in_part")))
-    live = keyed.join(ends, ["g", "component", "prefix"], "left").join(days, ["g", "p", "component", "prefix"], "left").where("in_whole or in_part")
-    live = live.groupBy("g", "p", "component", "key", "in_whole", "in_part").count()
+    ends = open_.where("whole").select("g", "component", "prefix", F.lit(True).alias("in_whole"))
+    days = open_.where("not whole").select("g", "p", "component", "prefix", F.lit(True).alias("in_part"))
+    if goal <= broadcast_rows:
+        live = keyed.join(F.broadcast(ends), ["g", "component", "prefix"], "left").join(F.broadcast(days), ["g", "p", "component", "prefix"], "left").where("in_whole or in_part")
+        live = live.groupBy("g", "p", "component", "key", "in_whole", "in_part").count()
+    else:
+        # Equal values are one row before they meet the intervals, and the lattice cells with many values are spread over tasks.
+        named = lambda *c: F.concat_ws("|", *(F.coalesce(F.col(x).cast("string"), F.lit("null")) for x in c))
+        live = keyed.groupBy("g", "p", "component", "prefix", "key").count()
+        total = parts.agg(F.sum("n")).first()[0] or 0
+        for side, flag, by in ((ends, "in_whole", ("g", "component", "prefix")), (days, "in_part", ("g", "p", "component", "prefix"))):
+            held = parts.withColumnRenamed("cell", "prefix").groupBy(named(*by).alias("at")).agg(F.sum("n").alias("n"))
+            live = salted_join(live.withColumn("at", named(*by)), side.select(named(*by).alias("at"), flag), "at", heavy_keys(held, "at", "n", total), "left").drop("at")
+        live = live.where("in_whole or in_part")
     live = scratch.save(live.select("component", "key", F.col("count").alias("n"), "g", "p", "in_whole", "in_part"), "live")
     each = live.where("in_part").select("g", "p", F.lit(False).alias("whole"), "component", "key", "n")
     all_ = live.where("in_whole").groupBy("g", "component", "key").agg(F.sum("n").alias("n"))

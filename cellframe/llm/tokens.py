@@ -4,8 +4,9 @@ Texts are cut into pre-tokens. A block of documents keeps, for every position,
 the number of the pre-token in the block's own word list. The word lists of all
 blocks meet in one shuffle, where each distinct word of the corpus is encoded
 once; the ids are joined back to the blocks and put in place by position. A word
-has one row a block however often it occurs, so the commonest words are no
-hot keys.
+has one row a block however often it occurs; words that stand in very many
+blocks are spread over tasks in that join. Decoding goes the same way with ids in
+place of words, joined with the token-byte table.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellframe.operators.skew import heavy_keys, salted_join
 from cellframe.runtime import Scratch
 
 #: Where the vocabulary files lie; every function takes another folder.
@@ -93,9 +95,21 @@ def _blocks(limit: int):
     return run
 
 
-def _encode(path: str):
+def ship(spark, vocabulary: str) -> str:
+    """Sends the vocabulary file to every executor; the name by which tasks find it."""
+    spark.sparkContext.addFile(vocabulary)
+    return Path(vocabulary).name
+
+
+def shipped(name: str) -> str:
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(name)
+
+
+def _encode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoding(shipped(name)).encode_ordinary
         for batch in batches:
             ids = [encode(w) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
@@ -145,8 +159,10 @@ def encode_corpus(documents: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50
     cut = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_blocks(block_chars), BLOCKS)
     blocks = scratch.save(cut, "blocks")
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    encoded = words.select("word").distinct().mapInArrow(_encode(vocabulary), "word string, ids array<int>")
-    lists = words.join(encoded, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "ids"))).alias("held"))
+    counts = scratch.save(words.groupBy("word").count(), "words")
+    encoded = counts.select("word").mapInArrow(_encode(ship(documents.sparkSession, vocabulary)), "word string, ids array<int>")
+    hot = heavy_keys(counts, "word", "count", counts.agg(F.sum("count")).first()[0] or 0)
+    lists = salted_join(words, encoded, "word", hot).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "ids"))).alias("held"))
     whole = blocks.select("block", "doc_ids", "lengths", "codes").join(lists, "block", "left")
     return whole.select("doc_ids", "lengths", "codes", "held").mapInArrow(_reassemble, "doc_id long, ids array<int>")
 
@@ -156,36 +172,67 @@ def token_bytes(spark, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken") -> D
     return spark.createDataFrame([(i, bytearray(b)) for b, i in ranks(vocabulary).items()], "id int, bytes binary")
 
 
-@lru_cache(maxsize=2)
-def _byte_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """The token-byte table as all bytes in a row and the length of each id, -1 for an id that isn't there."""
-    table = {i: b for b, i in ranks(path).items()}
-    size = max(table) + 1
-    lengths = np.array([len(table[i]) if i in table else -1 for i in range(size)], np.int64)
-    return np.frombuffer(b"".join(table.get(i, b"") for i in range(size)), np.uint8), lengths
+CODED = "block long, doc_ids array<long>, lengths array<int>, codes binary, ids array<int>"
+#: A block of token ids is closed when it has this many.
+BLOCK_IDS = 1 << 18
 
 
-def _decode(path: str):
+def _id_blocks(limit: int):
+    """(doc_id, ids) batches to blocks: the distinct ids of each, and the place of the id at every position."""
+
+    def block(number: int, docs: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        ids, codes = np.unique(flat, return_inverse=True)
+        columns = [pa.array([number], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([[len(p) for p in parts]], pa.list_(pa.int32())), pa.array([codes.astype(_ints(len(ids))).tobytes()], pa.binary()), pa.array([ids.tolist()], pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "lengths", "codes", "ids"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, lengths = _byte_table(path)
+        from pyspark import TaskContext
+
+        number, docs, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            texts = []
-            for row in batch.column(1):
-                ids = row.values.to_numpy(zero_copy_only=False) if row.is_valid and len(row) else np.zeros(0, np.int64)
-                if len(ids) and (ids.min() < 0 or ids.max() >= len(lengths) or (lengths[ids] < 0).any()):
-                    raise ValueError("unknown token id")
-                found, _ = _expand(values, np.maximum(lengths, 0), ids)
-                texts.append(found.tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for doc, row in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = row.values.to_numpy(zero_copy_only=False).astype(np.int64) if row.is_valid and len(row) else np.zeros(0, np.int64)
+                if docs and size + len(ids) > limit:
+                    yield block(number, docs, parts)
+                    number, docs, parts, size = number + 1, [], [], 0
+                docs.append(doc)
+                parts.append(ids)
+                size += len(ids)
+        if docs:
+            yield block(number, docs, parts)
 
     return run
 
 
-def decode_corpus(tokens: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): the ids joined with the token-byte table in place, by position.
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            docs, counts = (batch.column(i)[row].as_py() for i in (0, 1))
+            held = batch.column(3)[row].as_py() or []  # bytes of the block's ids, by place
+            lengths = np.array([len(h["bytes"]) for h in held], np.int64)
+            values = np.frombuffer(b"".join(h["bytes"] for h in held), np.uint8)
+            codes = np.frombuffer(batch.column(2)[row].as_py(), _ints(len(held))).astype(np.int64)
+            ends, texts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64), []
+            for i in range(len(docs)):
+                found, _ = _expand(values, lengths, codes[ends[i] : ends[i + 1]])
+                texts.append(found.tobytes().decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def decode_corpus(tokens: DataFrame, vocabulary: str = f"{FOLDER}/byte_bpe_50k.tiktoken", block_ids: int = BLOCK_IDS) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids): the distinct ids of blocks joined with the token-byte table, put in place by position.
 
-    The table has the vocabulary's size and is held by every task, so nothing is
-    moved. An empty or null list gives an empty text; an id the vocabulary lacks
-    raises; bytes that aren't UTF-8 become the replacement character.
+    The table has the vocabulary's size, so it is broadcast. An empty or null list
+    gives an empty text; an id the vocabulary lacks raises; bytes that aren't
+    UTF-8 become the replacement character. Rows that repeat a doc_id come out
+    once each; an empty table gives no rows.
     """
-    return tokens.select("doc_id", "ids").mapInArrow(_decode(vocabulary), "doc_id long, text string")
+    scratch = Scratch(tokens.sparkSession, "texts")
+    cut = tokens.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(_id_blocks(block_ids), CODED)
+    blocks = scratch.save(cut, "blocks")
+    used = blocks.select("block", F.posexplode("ids").alias("code", "id")).join(F.broadcast(token_bytes(tokens.sparkSession, vocabulary)), "id", "left")
+    known = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col("id"))).cast("binary")).otherwise(F.col("bytes"))
+    lists = used.select("block", "code", known.alias("bytes")).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "bytes"))).alias("held"))
+    whole = blocks.select("block", "doc_ids", "lengths", "codes").join(lists, "block", "left")
+    return whole.select("doc_ids", "lengths", "codes", "held").mapInArrow(_texts, "doc_id long, text string")

@@ -45,9 +45,10 @@ def test_keys_keep_the_order(vs):
     assert (from_key(to_key(a)) == a).all()
 
 
-def test_percentiles_are_exact(spark):
+@pytest.mark.parametrize("broadcast_rows", [200_000, 0])
+def test_percentiles_are_exact(spark, broadcast_rows):
     rows = values(4000)
-    got = {(r.type, r.day, r.component): (r.n, [r[f"p{round(q * 100):02d}"] for q in FRACTIONS]) for r in percentiles(spark.createDataFrame(rows, ROWS), "type", "day", ["v"]).collect()}
+    got = {(r.type, r.day, r.component): (r.n, [r[f"p{round(q * 100):02d}"] for q in FRACTIONS]) for r in percentiles(spark.createDataFrame(rows, ROWS), "type", "day", ["v"], broadcast_rows).collect()}
     want = {}
     for t, d, v, *_ in rows:
         if t is not None and v is not None and math.isfinite(v):

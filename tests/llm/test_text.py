@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from cellframe.llm import tokens
 from cellframe.llm.leaks import SHARE, folded, found_share, found_words, leaked_items, seeds, word_code
 from cellframe.llm.quality import FEATURES, Trees, holdout, junk_probability, measures, remeasured, statistics, weak_label
 from cellframe.llm.tokens import FOLDER, decode_corpus, encode_corpus, encoding
@@ -28,10 +29,17 @@ def test_ids_equal_the_library(spark, block):
     assert got == {i: e.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
+def test_hot_words_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "heavy_keys", lambda counts, key, count, total: counts.where(f"{count} > 3").select(key))
+    texts = [f"the cat {i} sat on the mat" for i in range(20)]
+    got = {r.doc_id: list(r.ids) for r in encode_corpus(docs(spark, texts), VOCABULARY, 10).collect()}
+    assert got == {i: encoding(VOCABULARY).encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_round_trip_and_empty(spark):
     df = docs(spark, TEXTS)
-    got = {r.doc_id: r.text for r in decode_corpus(encode_corpus(df), VOCABULARY).collect()}
-    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    got = {r.doc_id: r.text for r in decode_corpus(encode_corpus(df), VOCABULARY, 8).collect()}
+    assert got == {r.doc_id: r.text for r in decode_corpus(encode_corpus(df)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
     assert encode_corpus(df.limit(0)).count() == 0
     lost = spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>")
     assert {r.text for r in decode_corpus(lost).collect()} == {""}
