@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
-from cellframe.operators.cells import CELL, KEY, SUB, centre
+from cellframe.operators.cells import CELL, SUB, centre
 from cellframe.operators.ranking import dense_number
 from cellframe.operators.skew import heavy_keys, salted_join
 from cellframe.runtime import Scratch

@@ -48,13 +48,14 @@ def _axis_copies(domain: Domain, axis: int, x: Column, width: float, n: int | No
     return F.filter(F.array(*out), lambda e: e.isNotNull())
 
 
-def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = False, keep: tuple[str, ...] = (), half: bool = False) -> DataFrame:
+def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = False, keep: tuple[str, ...] = (), half: bool = False, own: tuple[str, ...] = ()) -> DataFrame:
     """Directed pairs (a, b, dx, dy, dz, d2) with 0 < d2 <= rcut^2 in lab space.
 
     Each image of a periodic axis that is near enough is a pair of its own, a
     particle's image of itself too. With `coincident` pairs at distance 0 of
     different particles count as well; with `half` only a > b is kept. Columns
-    named in `keep` come from the neighbour, as nb_<name>. Rows with a null id or
+    named in `keep` come from the neighbour, as nb_<name>, those in `own` from the
+    particle itself, as own_<name>. Rows with a null id or
     position, or a non-finite one, have no pairs; a repeated row pairs as often
     as it is there; an empty table gives no rows.
 
@@ -81,7 +82,7 @@ def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = Fal
         k = F.floor((x - domain.bmin[i]) / widths[i]).cast("long")
         return F.least(F.greatest(k, F.lit(0).cast("long")), F.lit(counts[i] - 1).cast("long")) if counts[i] else k
 
-    left = p.select(*(bucket(i, F.col(f"r{a}")).alias(k) for i, (a, k) in enumerate(zip(AXES, keys))), F.col("id").alias("a"), *(F.col(f"r{a}").alias(f"a{a}") for a in AXES))
+    left = p.select(*(bucket(i, F.col(f"r{a}")).alias(k) for i, (a, k) in enumerate(zip(AXES, keys))), F.col("id").alias("a"), *(F.col(f"r{a}").alias(f"a{a}") for a in AXES), *(F.col(k).alias(f"own_{k}") for k in own))
     right = p.select(F.col("id").alias("b"), *(F.col(f"r{a}") for a in AXES), *(F.col(k).alias(f"nb_{k}") for k in keep))
     for i, (a, k) in enumerate(zip(AXES, keys)):
         right = right.withColumn("c", F.explode(_axis_copies(domain, i, F.col(f"r{a}"), widths[i], counts[i], reach)))
@@ -95,7 +96,7 @@ def neighbors(df: DataFrame, domain: Domain, rcut: float, coincident: bool = Fal
         on = [*keys, "__part"]
     pairs = left.join(right, on)
     d = matvec(domain.xform, tuple(F.col(f"b{a}") - F.col(f"a{a}") for a in AXES))
-    pairs = pairs.select("a", "b", *(c.alias(f"d{a}") for c, a in zip(d, AXES)), *(f"nb_{k}" for k in keep))
+    pairs = pairs.select("a", "b", *(c.alias(f"d{a}") for c, a in zip(d, AXES)), *(f"nb_{k}" for k in keep), *(f"own_{k}" for k in own))
     pairs = pairs.withColumn("d2", norm2(tuple(F.col(f"d{a}") for a in AXES)))
     low = (F.col("d2") > 0) | ((F.col("a") != F.col("b")) if coincident else F.lit(False))
     pairs = pairs.where(low & (F.col("d2") <= rcut * rcut))
@@ -167,22 +168,36 @@ def pair_force(df: DataFrame, pairs: DataFrame, derivative: Column, energy: Colu
     return out.drop(*(f"__f{a}" for a in AXES), "__ep")
 
 
-def lennard_jones(df: DataFrame, domain: Domain, epsilon: float, sigma: float, rcut: float, energy: bool = False) -> DataFrame:
-    """Forces of 4 eps ((s/r)^12 - (s/r)^6) from neighbours within rcut."""
+def lennard_jones(df: DataFrame, domain: Domain, epsilon: float | None = None, sigma: float | None = None, rcut: float | None = None, energy: bool = False, by_types: dict | None = None) -> DataFrame:
+    """Forces of 4 eps ((s/r)^12 - (s/r)^6) from neighbours within rcut.
+
+    `by_types` gives (epsilon, sigma, rcut) for pairs of types, whichever way
+    round; pairs of other types have the general values, or no force if there are
+    none.
+    """
     r = F.sqrt("d2")
-    s6 = F.pow(F.lit(float(sigma)) / r, 6)
-    de = F.lit(-24.0 * epsilon) * (2.0 * s6 * s6 - s6) / r
-    return pair_force(df, neighbors(df, domain, rcut), de, F.lit(4.0 * epsilon) * (s6 * s6 - s6) if energy else None)
+    if by_types is None:
+        eps, size, pairs = F.lit(float(epsilon)), F.lit(float(sigma)), neighbors(df, domain, rcut)
+    else:
+        pair = F.struct(F.least("own_type", "nb_type").alias("t"), F.greatest("own_type", "nb_type").alias("u"))
+        general = (epsilon, sigma, rcut) if None not in (epsilon, sigma, rcut) else (0.0, 1.0, 0.0)
+        eps, size, cut = (F.lit(float(x)) for x in general)
+        for (t, u), values in by_types.items():
+            same = (pair["t"] == min(t, u)) & (pair["u"] == max(t, u))
+            eps, size, cut = (F.when(same, F.lit(float(x))).otherwise(c) for x, c in zip(values, (eps, size, cut)))
+        far = max(general[2], *(v[2] for v in by_types.values()))
+        pairs = neighbors(df, domain, far, keep=("type",), own=("type",)).where(F.col("d2") <= cut * cut)
+    s6 = F.pow(size / r, 6)
+    de = -24.0 * eps * (2.0 * s6 * s6 - s6) / r
+    return pair_force(df, pairs, de, 4.0 * eps * (s6 * s6 - s6) if energy else None)
 
 
 def gravity(df: DataFrame, domain: Domain, types: DataFrame, g: float, rcut: float) -> DataFrame:
     """Attraction g m_a m_b / r^2 by the masses of the types; a type without mass attracts nothing."""
     mass = types.groupBy("type").agg(F.first("mass").alias("__m"))
     heavy = join_checked(df, mass, ["type"], "left", mass.count()).withColumn("__m", F.coalesce("__m", F.lit(0.0)))
-    pairs = neighbors(heavy, domain, rcut, keep=("__m",))
-    own = heavy.select(F.col("id").alias("a"), "__m").distinct()
-    pairs = pairs.join(own, "a")
-    de = F.lit(float(g)) * F.col("__m") * F.col("nb___m") / F.col("d2")
+    pairs = neighbors(heavy, domain, rcut, keep=("__m",), own=("__m",))
+    de = F.lit(float(g)) * F.col("own___m") * F.col("nb___m") / F.col("d2")
     return pair_force(df, pairs, de)
 
 

@@ -55,7 +55,7 @@ def track_regions(df: DataFrame, domain: Domain, regions: Regions, names: list[s
     start, known = 0, dict(regions.known)
     for i, n in enumerate(names):
         size = sizes.get(i, 0)
-        known[n[:12]] = Region(n[:12], start, start + size)
+        known[n] = Region(n, start, start + size)
         start += size
     return out, Regions(known)
 

@@ -101,7 +101,11 @@ def quadric_column(q: Sequence[float], r) -> Column:
 
 @dataclass(frozen=True)
 class Regions:
-    """Registry of regions. Names are cut to NAME_LENGTH characters; a later region replaces one of its name."""
+    """Registry of regions; a later region replaces one of its name.
+
+    A name that isn't known stands for the one region that begins with the same
+    NAME_LENGTH characters, as older decks cut names there; two such regions raise.
+    """
 
     known: dict[str, Region] = field(default_factory=dict)
 
@@ -113,8 +117,15 @@ class Regions:
             q = tuple(transformed(q, IDENTITY4 if transform is None else transform).ravel().tolist())
         lo, hi = bounds if bounds is not None else (None, None)
         start, end = id_range if id_range is not None else (None, None)
-        short = name[:NAME_LENGTH]
-        return replace(self, known=self.known | {short: Region(short, start, end, lo and tuple(lo), hi and tuple(hi), q)})
+        return replace(self, known=self.known | {name: Region(name, start, end, lo and tuple(lo), hi and tuple(hi), q)})
+
+    def find(self, name: str) -> Region | None:
+        if name in self.known or len(name) < NAME_LENGTH:
+            return self.known.get(name)
+        alike = [r for n, r in self.known.items() if n[:NAME_LENGTH] == name[:NAME_LENGTH]]
+        if len(alike) > 1:
+            raise ValueError(f"region {name!r} may be any of {[r.name for r in alike]}")
+        return alike[0] if alike else None
 
     def predicate(self, expression: str | None, r, id_: Column | None = None) -> Column:
         """The Column of an expression of names, and, or, not and parentheses; an empty one accepts all.
@@ -129,7 +140,7 @@ class Regions:
         column, rest = self._either(tokens, r, id_)
         if rest:
             raise ValueError(f"unexpected {rest[0]!r} in region expression {expression!r}")
-        used = [self.known[t[:NAME_LENGTH]] for t in tokens if t[:NAME_LENGTH] in self.known]
+        used = [q for t in tokens if t not in ("and", "or", "not", "(", ")") and (q := self.find(t))]
         looked = [*r] if any(q.bmin or q.bmax or q.quadric for q in used) else []
         if id_ is not None and any(q.id_start is not None or q.id_end is not None for q in used):
             looked.append(id_)
@@ -163,9 +174,10 @@ class Regions:
             if tokens[:1] != [")"]:
                 raise ValueError("a parenthesis isn't closed")
             return inner, tokens[1:]
-        if head[:NAME_LENGTH] not in self.known:
+        found = self.find(head)
+        if found is None:
             raise KeyError(f"unknown region {head!r}")
-        return self.known[head[:NAME_LENGTH]].holds(r, id_), tokens
+        return found.holds(r, id_), tokens
 
 
 def located(regions: Regions | None, region: str | None, r, id_=None, mask: Column | None = None, mask_value: float | None = None, source=None, threshold: float = 0.0, time: float = 0.0) -> Column:

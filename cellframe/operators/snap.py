@@ -5,7 +5,7 @@ density's coefficients are sums of their representation matrices; a bispectrum
 component couples three of them by Clebsch-Gordan coefficients, so it doesn't
 change when the neighbourhood turns. Energies are linear in the components, and
 forces follow by the chain rule through the coefficients. Neighbours are listed
-by the distance join; the kernel runs on Arrow batches, an atom at a time.
+by the distance join; the kernel runs on Arrow batches, all atoms of a chunk together.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ def parse(parameters: str, coefficients: str) -> Snap:
         radius.append(float(name[1]))
         weight.append(float(name[2]))
         values.append(tuple(float(v[0]) for v in block))
+    if p.get("quadraticflag", "0") != "0":
+        raise ValueError("quadratic potentials aren't known")
     return Snap(int(p["twojmax"]), float(p["rcutfac"]), tuple(radius), tuple(weight), tuple(values), float(p.get("rfac0", 0.99363)), float(p.get("rmin0", 0.0)), p.get("bzeroflag", "1") != "0")
 
 
@@ -116,43 +118,60 @@ def representations(d: np.ndarray, rcut: np.ndarray, p: Snap) -> tuple[list[np.n
     return out, [cut[:, None, None, None] * du + dcut[:, :, None, None] * u[:, None] for u, du in zip(us, dus)]
 
 
-def atom(d: np.ndarray, kinds: np.ndarray, kind: int, p: Snap) -> tuple[float, np.ndarray, np.ndarray]:
-    """Energy of an atom, its bispectrum, and the derivative of the energy by each neighbour's position (n x 3)."""
-    radius, weight, beta = np.array(p.radius), np.array(p.weight), p.coefficients[kind]
-    total = [np.eye(j + 1, dtype=complex) for j in range(p.twojmax + 1)]
-    if len(d):
-        us, dus = representations(d, p.rcutfac * (radius[kind] + radius[kinds]), p)
-        w = weight[kinds]
-        total = [t + np.einsum("n,nab->ab", w, u) for t, u in zip(total, us)]
-    energy, parts, slope = beta[0], [], [np.zeros((j + 1, j + 1), complex) for j in range(p.twojmax + 1)]
-    for b, (j1, j2, j) in zip(beta[1:], triples(p.twojmax)):
+#: Neighbours whose derivatives are held at a time: some 20 MB for each momentum of the published potentials.
+CHUNK = 4096
+
+
+def atoms(d: np.ndarray, kinds: np.ndarray, counts: np.ndarray, own: np.ndarray, p: Snap) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For atoms of kinds `own` with counts[i] neighbours each (d, kinds: one after the other): energies, bispectra, and the derivative of an atom's energy by each neighbour's position."""
+    radius, weight, beta = np.array(p.radius), np.array(p.weight), np.array(p.coefficients)[own]
+    at = np.repeat(np.arange(len(own)), counts)
+    total = [np.repeat(np.eye(j + 1, dtype=complex)[None], len(own), 0) for j in range(p.twojmax + 1)]
+    us, dus = representations(d, p.rcutfac * (radius[own][at] + radius[kinds]), p) if len(d) else ([], [])
+    w = weight[kinds]
+    for t, u in zip(total, us):
+        np.add.at(t, at, w[:, None, None] * u)
+    energy, parts, slope = beta[:, 0].copy(), [], [np.zeros((len(own), j + 1, j + 1), complex) for j in range(p.twojmax + 1)]
+    for k, (j1, j2, j) in enumerate(triples(p.twojmax)):
         c = coupling(j1, j2, j).reshape(j + 1, -1)
-        z = c @ np.kron(total[j1], total[j2]) @ c.T
-        parts.append(float((total[j].conj() * z).sum().real) - ((j + 1) if p.bzero else 0.0))
+        both = np.einsum("nac,nbd->nabcd", total[j1], total[j2]).reshape(len(own), c.shape[1], c.shape[1])
+        z = c @ both @ c.T
+        parts.append((total[j].conj() * z).sum((1, 2)).real - ((j + 1) if p.bzero else 0.0))
+        b = beta[:, k + 1]
         energy += b * parts[-1]
-        back = (c.T @ total[j].conj() @ c).reshape(j1 + 1, j2 + 1, j1 + 1, j2 + 1)
-        slope[j] += b * z.conj()
-        slope[j1] += b * np.tensordot(back, total[j2], ([1, 3], [0, 1]))
-        slope[j2] += b * np.tensordot(back, total[j1], ([0, 2], [0, 1]))
+        back = (c.T @ total[j].conj() @ c).reshape(len(own), j1 + 1, j2 + 1, j1 + 1, j2 + 1)
+        slope[j] += b[:, None, None] * z.conj()
+        slope[j1] += b[:, None, None] * np.einsum("nabcd,nbd->nac", back, total[j2])
+        slope[j2] += b[:, None, None] * np.einsum("nabcd,nac->nbd", back, total[j1])
     force = np.zeros((len(d), 3))
-    if len(d):
-        for s, du in zip(slope, dus):
-            force += w[:, None] * np.einsum("ab,nxab->nx", s, du).real
-    return energy, np.array(parts), force
+    for s, du in zip(slope, dus):
+        force += w[:, None] * np.einsum("nab,nxab->nx", s[at], du).real
+    return energy, np.array(parts).T, force
+
+
+def atom(d: np.ndarray, kinds: np.ndarray, kind: int, p: Snap) -> tuple[float, np.ndarray, np.ndarray]:
+    """Energy of one atom, its bispectrum, and the derivative of the energy by each neighbour's position (n x 3)."""
+    energy, parts, force = atoms(d, kinds, np.array([len(d)]), np.array([kind]), p)
+    return float(energy[0]), parts[0], force
 
 
 def _kernel(p: Snap):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            ids, rows = [], []
-            for a, kind, others in zip(f["a"], f["kind"], f["others"]):
-                near = list(others) if others is not None else []
-                d = np.array([[o["dx"], o["dy"], o["dz"]] for o in near], float).reshape(-1, 3)
-                energy, _, slope = atom(d, np.array([o["kind"] for o in near], int), int(kind), p)
-                ids += [a, *(o["b"] for o in near)]
-                rows += [[energy, *slope.sum(0)], *([0.0, *s] for s in -slope)]
-            out = np.array(rows, float).reshape(-1, 4)
-            yield pd.DataFrame({"id": np.array(ids, np.int64), "ep": out[:, 0], "sx": out[:, 1], "sy": out[:, 2], "sz": out[:, 3]})
+            lists = {c: [np.asarray(v) if v is not None else np.zeros(0) for v in f[c]] for c in ("b", "dx", "dy", "dz", "kinds")}
+            counts = np.array([len(v) for v in lists["b"]], np.int64)
+            cut = np.flatnonzero(np.diff(np.cumsum(counts) // CHUNK)) + 1
+            for rows in np.split(np.arange(len(f)), cut):
+                if not len(rows):
+                    continue
+                flat = {c: np.concatenate([v[i] for i in rows]) for c, v in lists.items()}
+                n, a = counts[rows], f["a"].to_numpy(np.int64)[rows]
+                d = np.stack([flat[c] for c in ("dx", "dy", "dz")], 1).astype(float)
+                energy, _, slope = atoms(d, flat["kinds"].astype(int), n, f["kind"].to_numpy(int)[rows], p)
+                sums = np.zeros((len(rows), 3))
+                np.add.at(sums, np.repeat(np.arange(len(rows)), n), slope)
+                out = np.r_[np.c_[energy, sums], np.c_[np.zeros(len(d)), -slope]]
+                yield pd.DataFrame({"id": np.r_[a, flat["b"].astype(np.int64)], "ep": out[:, 0], "sx": out[:, 1], "sy": out[:, 2], "sz": out[:, 3]})
 
     return run
 
@@ -168,7 +187,7 @@ def snap_force(df: DataFrame, domain: Domain, p: Snap) -> DataFrame:
     pairs = neighbors(typed, domain, p.rcut, keep=("__kind",))
     lists = pairs.groupBy("a").agg(F.collect_list(F.struct("b", "dx", "dy", "dz", F.col("nb___kind").alias("kind"))).alias("others"))
     every = df.where(F.col("id").isNotNull() & F.col("type").isNotNull()).select(F.col("id").alias("a"), F.col("type").alias("kind")).join(lists, "a", "left")
-    parts = every.mapInPandas(_kernel(p), "id long, ep double, sx double, sy double, sz double")
+    parts = every.select("a", "kind", *(F.col(f"others.{c}").alias(c) for c in ("b", "dx", "dy", "dz")), F.col("others.kind").alias("kinds")).mapInPandas(_kernel(p), "id long, ep double, sx double, sy double, sz double")
     sums = parts.groupBy("id").agg(*(F.sum(c).alias(f"__{c}") for c in ("ep", "sx", "sy", "sz")))
     joined = df.drop("ep").join(sums, "id", "left")
     return joined.withColumns({f"f{a}": F.col(f"f{a}") + F.coalesce(F.col(f"__s{a}"), F.lit(0.0)) for a in AXES} | {"ep": F.coalesce("__ep", F.lit(0.0))}).drop("__ep", "__sx", "__sy", "__sz")

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
 from cellframe.functions.keys import uniform_key_sql
-from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, transform
+from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, transform
 from cellframe.plans.catalogue import query, table
 from cellframe.plans.particle_queries import ALL, CELLS, PAIRS, RCUT, SPLATS, SUBDIV, SUBKEYS, UNIT, WITH, WRAPPED, ball, emb, projected, rounded, wrapped
 from cellframe.plans.pipeline import State, run_pipeline
 from cellframe.runtime import Scratch
-from cellframe.sources import files, particles
 
 
 def digits_sql(c: str, n: int = 5) -> str:
@@ -44,6 +43,23 @@ def lennard_jones_force(spark, folder):
     return digits(neighbors.lennard_jones(p, UNIT, 1.0, 0.05, RCUT).select("id", "fx", "fy", "fz"), ["fx", "fy", "fz"])
 
 
+BY_TYPES = {(0, 0): (1.0, 0.05, 0.1), (1, 0): (0.5, 0.04, 0.08), (2, 3): (2.0, 0.03, 0.06)}
+
+
+def _by_types_sql(k: int) -> str:
+    return "CASE " + " ".join(f"WHEN least(ta, tb) = {min(t)} AND greatest(ta, tb) = {max(t)} THEN {v[k]!r}::DOUBLE" for t, v in BY_TYPES.items()) + " END"
+
+
+MIXED = ", ".join(f"sum(-24.0 * e * (2.0 * pow(s / sqrt(d2), 12) - pow(s / sqrt(d2), 6)) / d2 * d{a}) AS s{a}" for a in AXES)
+
+
+@query(sql=f"{WRAPPED}, {PAIRS}, k AS (SELECT *, {_by_types_sql(0)} AS e, {_by_types_sql(1)} AS s, {_by_types_sql(2)} AS c FROM n), s AS (SELECT a AS id, {MIXED} FROM k WHERE d2 <= c * c GROUP BY a), t AS (SELECT w.id, {LJ_FORCES} FROM w LEFT JOIN s USING (id)) SELECT id, {', '.join(digits_sql(f'f{a}') for a in AXES)} FROM t")
+def lennard_jones_by_types(spark, folder):
+    """Forces whose depth, size and cut depend on the types of both ends."""
+    s = run_pipeline(State(transform.zero_force(wrapped(spark, folder)), UNIT), [{"lennard_jones_force": {"by_types": BY_TYPES}}])
+    return digits(s.particles.select("id", "fx", "fy", "fz"), ["fx", "fy", "fz"])
+
+
 # noise
 
 

@@ -6,9 +6,6 @@ larger sets for aggregates. Sums are rounded in the query and in its SQL.
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
@@ -16,7 +13,7 @@ from cellframe.functions.keys import uniform_key_sql
 from cellframe.operators import analytics, cells, checks, components, deform, mesh, neighbors, partitioning, ranking, selection, snap, transform
 from cellframe.operators.regions import Regions, scaling, translation
 from cellframe.plans.catalogue import query, table
-from cellframe.runtime import Scratch, shared_folder
+from cellframe.runtime import Scratch
 from cellframe.sources import files, particles
 from cellframe.streaming.loop import Verlet, run
 
@@ -504,7 +501,7 @@ def dump_round_trip(spark, folder):
 @query(sql="WITH g AS (SELECT " + ", ".join(f"{n}::INT AS {n}" for n in cells.KEY) + " FROM " + ", ".join(f"(SELECT unnest(generate_series(0, {2 if n[0] == 'c' else 1})) AS {n})" for n in cells.KEY) + f") SELECT {KEY6}, ((ck * 2 + sk) * 36 + (cj * 2 + sj) * 6 + ci * 2 + si)::DOUBLE AS mask FROM g")
 def read_cell_values(spark, folder):
     """A legacy structured-points file read back: values count up in Fortran order."""
-    path = f"{shared_folder(spark)}/cellframe-points.vtk"
+    path = f"{Scratch(spark, 'points').root}/points.vtk"
     head = "# vtk DataFile Version 3.0\nmask\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS 6 6 6\nORIGIN 0 0 0\nSPACING 1 1 1\nPOINT_DATA 216\nSCALARS mask double 1\nLOOKUP_TABLE default\n"
     files.text(spark, path, head + "\n".join(" ".join(str(v) for v in range(s, s + 8)) for s in range(0, 216, 8)) + "\n")
     return files.read_cell_values(spark, path, Domain.cube(3.0, 3), 2, "mask")

@@ -10,7 +10,7 @@ from cellframe.functions.keys import uniform_key_sql
 from cellframe.operators import cells
 from cellframe.plans.catalogue import query
 from cellframe.plans.checked_queries import COMPONENTS
-from cellframe.plans.particle_queries import ALL, CELLS, EV, EVENTS, HISTOGRAM, PAIRS, RCUT, SPLATS, SUBDIV, SUBKEYS, UNIT, WITH, WRAPPED, emb, evt, norm_sql, projected, rounded, wrapped
+from cellframe.plans.particle_queries import CELLS, EVENTS, HISTOGRAM, PAIRS, RCUT, SPLATS, SUBDIV, UNIT, WITH, WRAPPED, emb, evt, norm_sql, projected, rounded, wrapped
 from cellframe.plans.pipeline import State, run_pipeline
 from cellframe.runtime import Scratch
 from cellframe.sources import files

@@ -20,7 +20,7 @@ from cellframe.operators import analytics, cells, checks, mesh, neighbors, parti
 from cellframe.operators.regions import located
 from cellframe.plans import control
 from cellframe.plans.pipeline import State, operator
-from cellframe.runtime import Scratch
+from cellframe.runtime import Scratch, exists
 from cellframe.sources import files
 
 
@@ -384,7 +384,7 @@ def _displaced_end(s: State) -> State:
 def _check(s: State, file: str, samples: int = 128, threshold: float = 1e-16, pos_threshold: float | None = None, vel_threshold: float | None = None, acc_threshold: float | None = None, fatal: bool = True) -> State:
     """Compares with the golden rows of a file, which is written from a sample of the ids where there is none."""
     spark = s.particles.sparkSession
-    if not files.exists(spark, file):
+    if not exists(spark, file):
         checks.write_golden(s.particles, file, samples)
     golden = checks.read_golden(spark, file)
     limit = lambda x: threshold if x is None else x

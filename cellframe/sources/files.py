@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from cellframe.domain import AXES, Domain
 from cellframe.operators.cells import KEY
 from cellframe.operators.ranking import dense_number
-from cellframe.runtime import exists, join_checked, text  # noqa: F401
+from cellframe.runtime import join_checked, text
 
 FORCE = {"fx", "fy", "fz"}
 

@@ -1,7 +1,7 @@
 """The step loop: second-order pushes around a force, with neighbour lists that a skin keeps valid.
 
-Every few steps the particles are written to the shared folder, so that the
-lineage stays short and a lost executor costs only the steps since.
+Every step writes the particles to the shared folder, so that the lineage stays
+short and a lost executor costs one step.
 """
 
 from __future__ import annotations
@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cellframe.domain import AXES, Domain
 from cellframe.functions.vec import matvec, norm2
-from cellframe.operators.analytics import displaced
 from cellframe.operators.neighbors import neighbors
 from cellframe.operators.transform import push_first, push_second, zero_force
 from cellframe.runtime import Scratch
@@ -50,27 +49,39 @@ def with_shifts(df: DataFrame, domain: Domain, reach: float) -> DataFrame:
     return full.select("a", "b", *(s.alias(f"o{x}") for x, s in shift.items()))
 
 
-def run(df: DataFrame, domain: Domain, config: Verlet, steps: int, write_every: int = 1) -> DataFrame:
-    """The particles after a number of steps; lists are built anew when a particle moved by half the skin."""
+def run(df: DataFrame, domain: Domain, config: Verlet, steps: int) -> DataFrame:
+    """The particles after a number of steps; lists are built anew when a particle moved by more than half the skin.
+
+    A step is one job: it moves, takes the forces from the list at hand, writes,
+    and tells by the way how far a particle has gone from where the list was
+    built. If that is too far the step is taken again with a new list.
+    """
     scratch = Scratch(df.sparkSession, "loop")
-    p = scratch.save(domain.wrap(df), "start")
     reach = (config.rcut + config.skin) / domain.scales[0]
+    marks = {f"__m{a}": F.col(f"r{a}") for a in AXES}
+
+    def listed(p: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+        p = scratch.save(domain.wrap(p).withColumns(marks), f"wrapped{n}")
+        return p, scratch.save(with_shifts(p.drop(*marks), domain, reach), f"pairs{n}")
+
+    def moved(p: DataFrame) -> DataFrame:
+        return push_first(push_second(p, config.dt, domain=domain), "v", "f", config.dt, 0.5)
+
+    def finished(p: DataFrame, pairs: DataFrame) -> DataFrame:
+        return push_first(config.force(zero_force(p), refreshed(pairs, p, domain, config.rcut)), "v", "f", config.dt, 0.5)
+
     lists = 0
-    pairs = scratch.save(with_shifts(p, domain, reach), f"pairs{lists}")
-    backup = p.select("id", "rx", "ry", "rz")
+    p, pairs = listed(df, lists)
     for step in range(1, steps + 1):
-        p = push_second(p, config.dt, domain=domain)
-        p = push_first(p, "v", "f", config.dt, 0.5)
-        p = scratch.save(p, f"moved{step}") if step % write_every == 0 else p
-        if displaced(p, backup, config.skin / 2, domain.xform).first().result:
-            p, lists = scratch.save(domain.wrap(p), f"wrapped{step}"), lists + 1
-            pairs = scratch.save(with_shifts(p, domain, reach), f"pairs{lists}")
-            backup = p.select("id", "rx", "ry", "rz")
-        p = config.force(zero_force(p), refreshed(pairs, p, domain, config.rcut))
-        p = push_first(p, "v", "f", config.dt, 0.5)
-        if step % write_every == 0:
-            p = scratch.save(p, f"step{step}")
-            scratch.drop(f"moved{step}")
-            if step > write_every:
-                scratch.drop(f"step{step - write_every}")
-    return domain.wrap(p)
+        gone = norm2(matvec(domain.xform, tuple(F.col(f"r{a}") - F.col(f"__m{a}") for a in AXES)))
+        far = Observation(f"far{step}")
+        now = scratch.save(finished(moved(p), pairs).observe(far, F.max(gone).alias("far2")), f"step{step}")
+        if (far.get["far2"] or 0.0) > (config.skin / 2) ** 2:
+            lists += 1
+            fresh, pairs = listed(moved(p), lists)
+            now = scratch.save(finished(fresh, pairs), f"step{step}")
+            scratch.drop(f"pairs{lists - 1}")
+        p = now
+        if step > 1:
+            scratch.drop(f"step{step - 1}")
+    return domain.wrap(p.drop(*marks))

@@ -14,6 +14,7 @@ from cellframe.operators import analytics, cells, checks, components, deform, me
 from cellframe.operators.regions import SHAPES, Regions, quadric_column, rotation, scaling, transformed, translation
 from cellframe.plans.pipeline import OPERATORS, State, resolve, run_pipeline
 from cellframe.sources import files, particles
+from cellframe.streaming import samples
 from cellframe.streaming.loop import Verlet, run
 
 UNIT = Domain.cube(1.0, 5)
@@ -39,7 +40,6 @@ def array(df):
 
 
 def test_csg_against_direct_booleans(spark):
-    rng = np.random.default_rng(1)
     m = translation((0.5, 0.4, 0.5)) @ rotation("z", math.pi / 4) @ scaling((0.4, 0.2, 0.3))
     regions = Regions().declare("CONE", quadric="conex").declare("EGG", quadric="sphere", transform=m).declare("BOXLONGERNAME", bounds=((0.2, 0.2, 0.2), (0.7, 0.7, 0.7))).declare("IDS", id_range=(10, 30))
     p, r = array(cloud(spark, 200, 1))
@@ -52,7 +52,10 @@ def test_csg_against_direct_booleans(spark):
     for text, want in (("EGG and ( BOXLONGERNAME or not CONE )", egg & (box | ~cone)), ("EGG and (BOXLONGERNAM or not CONE)", egg & (box | ~cone)), ("not EGG and CONE or IDS", (~egg & cone) | ids), ("", np.ones(200, bool))):
         got = {x.id for x in df.where(regions.predicate(text, cols, F.col("id"))).collect()}
         assert got == set(p.id[want]), text
-    assert rng is not None
+    two = regions.declare("BOXLONGERNAMES", id_range=(0, 5))
+    assert {x.id for x in df.where(two.predicate("BOXLONGERNAMES", cols, F.col("id"))).collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        two.predicate("BOXLONGERNAM", cols)
     with pytest.raises(KeyError):
         regions.predicate("NOWHERE", cols)
     for bad in ("EGG and", "( EGG", "EGG EGG", "or EGG"):
@@ -496,6 +499,35 @@ def test_pipeline_and_loop(spark):
     assert np.allclose(a, b, atol=1e-9)
 
 
+def test_nickel_against_plain_steps(spark):
+    """The benchmark's crystal, 256 atoms and 8 steps: position, velocity and acceleration as by plain arrays."""
+    atoms, box, config = samples.nickel(spark, 4)
+    start = atoms.orderBy("id").toPandas()
+    assert len(start) == 256
+    end, last = array(run(atoms, box, config, 8))
+    k, size = samples.NICKEL, box.size[0]
+    r, v = start[["rx", "ry", "rz"]].to_numpy(), np.zeros((256, 3))
+
+    def acceleration(r):
+        d = r[None] - r[:, None]
+        d -= size * np.round(d / size)
+        d2 = (d * d).sum(2)
+        near = (d2 > 0) & (d2 <= k["rcut"] ** 2)
+        x = np.where(near, d2, 1.0)
+        s6 = (k["sigma"] ** 2 / x) ** 3
+        return (np.where(near, -24 * k["epsilon"] * samples.EV / k["mass"] * (2 * s6 * s6 - s6) / x, 0.0)[:, :, None] * d).sum(1)
+
+    f = np.zeros((256, 3))
+    for _ in range(8):
+        r = r + v * k["dt"] + f * k["dt"] ** 2 / 2
+        v = v + f * k["dt"] / 2
+        f = acceleration(r)
+        v = v + f * k["dt"] / 2
+    gap = last - r
+    assert np.abs(gap - size * np.round(gap / size)).max() < 1e-9
+    assert np.abs(end[["vx", "vy", "vz"]].to_numpy() - v).max() < 1e-6 and np.abs(end[["fx", "fy", "fz"]].to_numpy() - f).max() < 1e-5 * np.abs(f).max()
+
+
 def test_pipeline_covers_cells_files_and_deformation(spark, tmp_path):
     s = State(cloud(spark, 40), UNIT)
     steps = [
