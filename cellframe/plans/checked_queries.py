@@ -53,7 +53,7 @@ def _by_types_sql(k: int) -> str:
 MIXED = ", ".join(f"sum(-24.0 * e * (2.0 * pow(s / sqrt(d2), 12) - pow(s / sqrt(d2), 6)) / d2 * d{a}) AS s{a}" for a in AXES)
 
 
-@query(sql=f"{WRAPPED}, {PAIRS}, k AS (SELECT *, {_by_types_sql(0)} AS e, {_by_types_sql(1)} AS s, {_by_types_sql(2)} AS c FROM n), s AS (SELECT a AS id, {MIXED} FROM k WHERE d2 <= c * c GROUP BY a), t AS (SELECT w.id, {LJ_FORCES} FROM w LEFT JOIN s USING (id)) SELECT id, {', '.join(digits_sql(f'f{a}') for a in AXES)} FROM t")
+@query(sql=f"{WRAPPED}, {PAIRS}, ty AS (SELECT *, {_by_types_sql(0)} AS e, {_by_types_sql(1)} AS s, {_by_types_sql(2)} AS c FROM n), s AS (SELECT a AS id, {MIXED} FROM ty WHERE d2 <= c * c GROUP BY a), t AS (SELECT w.id, {LJ_FORCES} FROM w LEFT JOIN s USING (id)) SELECT id, {', '.join(digits_sql(f'f{a}') for a in AXES)} FROM t")
 def lennard_jones_by_types(spark, folder):
     """Forces whose depth, size and cut depend on the types of both ends."""
     s = run_pipeline(State(transform.zero_force(wrapped(spark, folder)), UNIT), [{"lennard_jones_force": {"by_types": BY_TYPES}}])
