@@ -42,8 +42,8 @@ PART = 0.3
 #: Lighter stretches count together if their words weigh on average at least so much of what the item's words do.
 OWN = 0.8
 #: Share of an item's weight that stands at positions hit by seeds before its wording is compared.
-LEAST = 0.15
-#: A seed that stands in more items than this is common wording, and is used for items only that have more than an eighth of their weight in it.
+LEAST = 0.2
+#: A seed that stands in more items than this is common wording, and is used for items only that have more than a sixteenth of their weight in it.
 COMMON = 12
 #: Up to so many seeds and words of the items their index goes to the tasks that read the corpus; beyond it seeds are joined by shuffle.
 INDEX_ROWS = 1_000_000
@@ -156,11 +156,22 @@ def _filter_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(byte.astype(np.int64)), pa.array(bits.astype(np.int16))], ["byte", "bits"])
 
 
+#: Bytes of the filter that come to the driver as one row.
+PIECE = 1 << 12
+
+
+def _filter_piece(frame: pd.DataFrame) -> pd.DataFrame:
+    out = np.zeros(PIECE, np.uint8)
+    out[frame["byte"].to_numpy() % PIECE] = frame["bits"].to_numpy().astype(np.uint8)
+    return pd.DataFrame({"piece": [int(frame["byte"].iloc[0]) // PIECE], "held": [out.tobytes()]})
+
+
 def seed_filter(used: DataFrame) -> np.ndarray:
-    """Bits of the seeds that stand in `used`: what the driver gets has at most FILTER_BITS / 8 rows, whatever the number of items."""
-    parts = used.select("seed").mapInArrow(_filter_parts, "byte long, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    """Bits of the seeds that stand in `used`: FILTER_BITS / 8 bytes for the driver, whatever the number of items."""
+    parts = used.select("seed").mapInArrow(_filter_parts, "byte long, bits short").groupBy("byte").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(FILTER_BITS >> 3, np.uint8)
-    out[parts["byte"].to_numpy()] = parts["bits"].to_numpy().astype(np.uint8)
+    for piece, held in parts.groupBy(F.floor(F.col("byte") / PIECE)).applyInPandas(_filter_piece, "piece long, held binary").collect():
+        out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(held, np.uint8)
     return out
 
 
@@ -404,10 +415,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, l
     Documents that repeat a doc_id count as one.
 
     Seeds of common wording (in more than COMMON items) don't make candidates,
-    but for items that have more than an eighth of their weight at such seeds.
-    Of half of another item three eighths of its weight are left outside common
-    wording; ends of stretches and faults may destroy three fifths of that before
-    it falls below LEAST.
+    but for items that have more than a sixteenth of their weight at such seeds.
+    Of half of another item seven sixteenths of its weight are left outside common
+    wording; ends of stretches and faults may destroy more than half of that
+    before it falls below LEAST.
     """
     scratch = Scratch(documents.sparkSession, "leaks")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
@@ -429,7 +440,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, share: float = SHARE, l
     every = scratch.save(every.withColumn("part", F.when(F.col("n") <= SHORT, 1.0).otherwise(F.col("part"))), "items")
     spread = every.groupBy("seed").agg((F.count_distinct("item_id") > COMMON).alias("common"))
     marked = every.join(spread, "seed")
-    shared = marked.where("common").select("item_id", "at", "part").distinct().groupBy("item_id").agg((F.sum("part") > 0.125).alias("mostly"))
+    shared = marked.where("common").select("item_id", "at", "part").distinct().groupBy("item_id").agg((F.sum("part") > 0.0625).alias("mostly"))
     used = scratch.save(marked.join(shared, "item_id", "left").where(F.col("mostly") | ~F.col("common") | (F.col("n") <= SHORT)).select("item_id", "at", "seed", "part"), "used")
     listed = weighed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("at", "word", "weight"))).alias("w"))  # as long as one item
     listed = listed.select("item_id", F.col("w.word").alias("words"), F.col("w.weight").alias("weights"))
